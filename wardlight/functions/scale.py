@@ -13,15 +13,19 @@ def clip(c, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
-def min_max(c, low: Column, high: Column) -> Column:
-    """(x - low) / (high - low); 0 where all values are equal."""
-    span = high - low
+def _value(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(v).cast("double")
+
+
+def min_max(c, low, high) -> Column:
+    """(x - low) / (high - low); 0 where all values are equal. Ends may be columns or numbers."""
+    low, span = _value(low), _value(high) - _value(low)
     return F.when(span == 0, F.lit(0.0)).otherwise((as_column(c) - low) / F.nullif(span, F.lit(0.0)))
 
 
-def severity(score, suspicious: Column, high: Column) -> Column:
+def severity(score, suspicious, high) -> Column:
     """normal / suspicious / high; null score gives 'undetermined'."""
-    x = as_column(score)
+    x, suspicious, high = as_column(score), _value(suspicious), _value(high)
     return (
         F.when(x.isNull(), "undetermined")
         .when(x >= high, "high")
@@ -30,12 +34,12 @@ def severity(score, suspicious: Column, high: Column) -> Column:
     )
 
 
-def error_score(error, suspicious: Column, high: Column) -> Column:
+def error_score(error, suspicious, high) -> Column:
     """Reconstruction error to [0, 1], relative to the p95 and p99 training errors."""
-    base = suspicious * 0.5
+    base, high = _value(suspicious) * 0.5, _value(high)
     return clip((as_column(error) - base) / (high - base + 1e-9), 0.0, 1.0)
 
 
 def at_least(c, threshold) -> Column:
     """0/1 flag; null gives 0."""
-    return F.coalesce((as_column(c) >= threshold).cast("int"), F.lit(0))
+    return F.coalesce((as_column(c) >= _value(threshold)).cast("int"), F.lit(0))

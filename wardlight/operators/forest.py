@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlight.fixed import FOREST_FEATURES
 from wardlight.functions.scale import at_least, clip, min_max, severity
-from wardlight.operators.order_stats import quantiles
+from wardlight.operators.order_stats import fit_quantiles
+from wardlight.operators.scaling import fit_ranges
 from wardlight.sources.stage import stage
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, "
@@ -153,15 +154,14 @@ def normalize_scores(scored: DataFrame, raw: str = "iforest_raw_score", score: s
     `scored` is read three times: pass a stored table.
     """
     train = scored.where(F.col(split) == "train")
-    ends = train.agg(F.min(raw).alias("low"), F.max(raw).alias("high"))
-    ends = ends.select(F.struct("low", "high")).scalar()
+    ends = fit_ranges(train, [raw])[raw]
 
     def normalized(df: DataFrame) -> DataFrame:
-        return df.withColumn(score, clip(min_max(raw, ends["low"], ends["high"]), 0.0, 1.0))
+        return df.withColumn(score, clip(min_max(raw, *ends), 0.0, 1.0))
 
-    cuts = quantiles(normalized(train), score, [0.95, 0.99]).select(F.struct("q0", "q1")).scalar()
+    cuts = fit_quantiles(normalized(train), score, [0.95, 0.99])
     return normalized(scored).withColumns({
-        flag: at_least(score, cuts["q0"]), label: severity(score, cuts["q0"], cuts["q1"])})
+        flag: at_least(score, cuts[0]), label: severity(score, *cuts)})
 
 
 def score_user_days(user_days: DataFrame, features=FOREST_FEATURES, keys=("user", "email_day"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardlight.operators.order_stats import quantiles, running_sums
+from wardlight.functions.scale import at_least
+from wardlight.operators.order_stats import fit_quantiles, running_sums
 from wardlight.operators.signals import mark_members
+from wardlight.sources.stage import stage
 
 
 def _ratio(a, b):
@@ -27,7 +29,7 @@ def detection_metrics(df: DataFrame, truth: str = "is_insider", score: str = "sc
     counts = df.groupBy(F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(y).alias("pos"),
         F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"))
-    steps = running_sums(counts, "score", ["n", "pos"], descending=True)
+    steps = running_sums(stage(counts, "score-counts"), "score", ["n", "pos"], descending=True)
     steps = steps.withColumns({
         "above": F.col("n_before") + F.col("n"), "found": F.col("pos_before") + F.col("pos"),
         "neg": F.col("n") - F.col("pos")})
@@ -66,9 +68,9 @@ def user_max_metrics(scored: DataFrame, insiders: DataFrame, score: str, severit
     prefer. Kept because published numbers use it.
     """
     rows = scored.where(F.col(severity) != "undetermined")
-    cut = quantiles(rows, score, [share]).select("q0").scalar()
+    cut = fit_quantiles(rows, score, [share])[0]
     users = mark_members(rows.groupBy("user").agg(F.max(score).alias("score")), insiders)
-    return detection_metrics(users.withColumn("predicted", F.coalesce((F.col("score") >= cut).cast("int"), F.lit(0))))
+    return detection_metrics(users.withColumn("predicted", at_least("score", cut)))
 
 
 def max_score_per_user(scored: DataFrame, score: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardlight.sources.stage import fitted, stage
+
 _SIDE = 16  # buckets = _SIDE ** 2; a row finds its bucket in 2 * _SIDE comparisons
 
 
@@ -48,7 +50,7 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: tuple[str,
                  descending: bool = False) -> DataFrame:
     """Add `{s}_before`: the sum of `s` over all rows that come earlier in value order.
 
-    `counts` holds one row per (by, value). `by` has few groups (a fixed set of models
+    `counts` is a stored table with one row per (by, value). `by` has few groups (a fixed set of models
     or aggregations), as each gets its own bucket table.
     """
     by = list(by)
@@ -68,7 +70,8 @@ def quantiles(df: DataFrame, value: str, probabilities, by: tuple[str, ...] = ()
               approximate: bool = False) -> DataFrame:
     """Linearly interpolated quantiles as columns `q0, q1, ...` (one row per group).
 
-    Exact by default; only buckets that hold a wanted rank are sorted.
+    Exact by default: the distinct values are stored once (they are read for the cuts,
+    the totals and the pick), and only buckets that hold a wanted rank are sorted.
     ``approximate=True`` is one sketch pass without interpolation.
     """
     by = list(by)
@@ -79,6 +82,7 @@ def quantiles(df: DataFrame, value: str, probabilities, by: tuple[str, ...] = ()
         sketch = present.groupBy(*by).agg(F.percentile_approx(value, probabilities, 10000).alias("q"))
         return sketch.select(*by, *[F.get("q", i).alias(n) for i, n in enumerate(names)])
     counts = present.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = stage(counts, "value-counts")
     tagged = _bucketed(counts, "__v", by)
     offsets = _bucket_offsets(tagged, ["__n"], by, False)
     total = F.sum("__size___n").over(Window.partitionBy(*by))
@@ -112,3 +116,9 @@ def quantiles(df: DataFrame, value: str, probabilities, by: tuple[str, ...] = ()
         (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
          * (position(p) - F.floor(position(p)))).alias(n)
         for i, (p, n) in enumerate(zip(probabilities, names))])
+
+
+def fit_quantiles(df: DataFrame, value: str, probabilities, approximate: bool = False) -> list[float | None]:
+    """Quantiles of the whole table as numbers (null for an empty table)."""
+    row = fitted(quantiles(df, value, probabilities, approximate=approximate))
+    return [row[f"q{i}"] for i in range(len(probabilities))]

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlight.functions.scale import min_max
+from wardlight.sources.stage import fitted
 
 
-def fit_ranges(df: DataFrame, columns) -> DataFrame:
-    """One row: `{c}_min` and `{c}_max` of every column, nulls counted as 0."""
-    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return df.agg(*[f(value(c)).alias(f"{c}_{n}") for c in columns
-                    for f, n in ((F.min, "min"), (F.max, "max"))])
+Ranges = dict[str, tuple[float | None, float | None]]
 
 
-def ranges_struct(ranges: DataFrame):
-    """The one-row table as a scalar struct column (a literal at run time, no join)."""
-    return ranges.select(F.struct(*ranges.columns)).scalar()
+def _double(c: str) -> Column:
+    return F.col(c).cast("double")
 
 
-def scaled_features(columns, ranges) -> list:
+def fit_ranges(df: DataFrame, columns, null_as_zero: bool = False) -> Ranges:
+    """Smallest and largest value of every column, in one aggregation."""
+    value = (lambda c: F.coalesce(_double(c), F.lit(0.0))) if null_as_zero else _double
+    row = fitted(df.agg(*[f(value(c)).alias(f"{c}_{n}") for c in columns
+                          for f, n in ((F.min, "min"), (F.max, "max"))]))
+    return {c: (row[f"{c}_min"], row[f"{c}_max"]) for c in columns}
+
+
+def scaled_features(columns, ranges: Ranges) -> list[Column]:
     """Scaler expressions for window features: a zero range divides by 1, so a value
     unseen in the fit keeps its distance from the minimum. Nulls count as 0."""
     out = []
     for c in columns:
-        low, high = ranges[f"{c}_min"], ranges[f"{c}_max"]
-        span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
-        out.append((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - low) / span)
+        low, high = ranges[c]
+        out.append((F.coalesce(_double(c), F.lit(0.0)) - low) / ((high - low) or 1.0))
     return out
 
 
@@ -35,8 +38,5 @@ def min_max_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
     `df` is read twice (range, apply): pass a stored table.
     """
-    sources = list(columns)
-    r = ranges_struct(df.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in sources
-                               for f, n in ((F.min, "min"), (F.max, "max"))]))
-    return df.withColumns({t: min_max(F.col(c).cast("double"), r[f"{c}_min"], r[f"{c}_max"])
-                           for c, t in columns.items()})
+    ranges = fit_ranges(df, list(columns))
+    return df.withColumns({t: min_max(_double(c), *ranges[c]) for c, t in columns.items()})

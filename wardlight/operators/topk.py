@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wardlight import fixed
 from wardlight.operators.metrics import f1
-from wardlight.operators.order_stats import quantiles
+from wardlight.operators.order_stats import fit_quantiles, quantiles
 
 AGGREGATIONS = ("score_max", "score_mean", "score_p95")
 
@@ -14,8 +14,8 @@ AGGREGATIONS = ("score_max", "score_mean", "score_p95")
 def survivors(users: DataFrame, score: str, percentile: int) -> DataFrame:
     """Users at or above a percentile of train users' scores, with the `cutoff`, sorted."""
     train = users.where(F.col("dataset_split") == "train")
-    cut = quantiles(train, score, [percentile / 100]).select("q0").scalar()
-    return (users.withColumn("cutoff", cut).where(F.col(score) >= F.col("cutoff"))
+    cut = fit_quantiles(train, score, [percentile / 100])[0]
+    return (users.withColumn("cutoff", F.lit(cut).cast("double")).where(F.col(score) >= F.col("cutoff"))
             .orderBy(F.col(score).desc(), F.col("user").asc()))
 
 

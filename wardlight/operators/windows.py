@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wardlight import fixed
 from wardlight.functions.scale import at_least, error_score, severity
-from wardlight.operators.order_stats import quantiles
-from wardlight.operators.scaling import fit_ranges, ranges_struct, scaled_features
+from wardlight.operators.order_stats import fit_quantiles
+from wardlight.operators.scaling import fit_ranges, scaled_features
 from wardlight.sources.stage import stage
 
 
@@ -30,7 +30,7 @@ def trailing_windows(df: DataFrame, values, user: str = "user", day: str = "emai
 def scaled_windows(user_days: DataFrame, features, split: str = "dataset_split",
                    rows: int = fixed.WINDOW_ROWS) -> DataFrame:
     """Add `window`: trailing windows of features scaled by the ranges of train rows."""
-    ranges = ranges_struct(fit_ranges(user_days.where(F.col(split) == "train"), features))
+    ranges = fit_ranges(user_days.where(F.col(split) == "train"), features, null_as_zero=True)
     return trailing_windows(user_days, scaled_features(features, ranges), rows=rows)
 
 
@@ -72,9 +72,9 @@ def score_errors(errors: DataFrame, raw: str = "lstm_raw_error", score: str = "l
     The flag (score >= 0.5) and the severity (error thresholds) may disagree.
     """
     train = errors.where((F.col(split) == "train") & F.col(raw).isNotNull())
-    cuts = quantiles(train, raw, [0.95, 0.99]).select(F.struct("q0", "q1")).scalar()
-    scored = errors.withColumn(score, error_score(raw, cuts["q0"], cuts["q1"]))
-    return scored.withColumns({flag: at_least(score, 0.5), label: severity(raw, cuts["q0"], cuts["q1"])})
+    cuts = fit_quantiles(train, raw, [0.95, 0.99])
+    scored = errors.withColumn(score, error_score(raw, *cuts))
+    return scored.withColumns({flag: at_least(score, 0.5), label: severity(raw, *cuts)})
 
 
 def score_windows(user_days: DataFrame, features=fixed.BEHAVIOR_FEATURES, latent: int = 32,

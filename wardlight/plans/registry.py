@@ -239,11 +239,10 @@ def minmax_severity(spark, folder):
 @query
 def scaled_features(spark, folder):
     days = stage(roles.user_days(spark, folder), "user-days")
-    ranges = scaling.ranges_struct(scaling.fit_ranges(
-        days.where("dataset_split = 'train'"), ["email_count", "total_size", "logon_count"]))
-    scaled = scaling.scaled_features(["email_count", "total_size", "logon_count"], ranges)
-    return rounded(days.select("user", "email_day", *[
-        c.alias(n) for n, c in zip(("email_count", "total_size", "logon_count"), scaled)]))
+    names = ["email_count", "total_size", "logon_count"]
+    ranges = scaling.fit_ranges(days.where("dataset_split = 'train'"), names, null_as_zero=True)
+    scaled = scaling.scaled_features(names, ranges)
+    return rounded(days.select("user", "email_day", *[c.alias(n) for n, c in zip(names, scaled)]))
 
 
 @query

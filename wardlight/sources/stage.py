@@ -20,6 +20,15 @@ def shared_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def fitted(df: DataFrame) -> dict:
+    """The single row of a fit (ranges, cutoffs) as plain values.
+
+    Fits have a fixed number of columns whatever the data size; as literals they cost
+    the plans that apply them nothing.
+    """
+    return df.first().asDict()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet under the shared root and return the stored table.
 
