@@ -7,11 +7,17 @@ bucket totals, a table of fixed size, carry the running sum across buckets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlight.sources.stage import fitted, stage
 
-_SIDE = 16  # buckets = _SIDE ** 2; a row finds its bucket in 2 * _SIDE comparisons
+
+def _side(spark) -> int:
+    """Buckets are side ** 2, at least one per shuffle partition; a row finds its bucket
+    in 2 * side comparisons."""
+    return max(16, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1) + 1)
 
 
 def _with_small(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
@@ -24,17 +30,18 @@ def _with_small(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _bucketed(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
-    shares = ", ".join(f"{i / _SIDE ** 2}D" for i in range(1, _SIDE ** 2))
+    side = _side(counts.sparkSession)
+    shares = ", ".join(f"{i / side ** 2}D" for i in range(1, side ** 2))
     cuts = counts.groupBy(*by).agg(
-        F.expr(f"percentile_approx(`{value}`, array({shares}), 10000)").alias("__fine"))
-    cuts = cuts.withColumn("__coarse", F.filter("__fine", lambda _, i: i % _SIDE == _SIDE - 1))
+        F.expr(f"percentile_approx(`{value}`, array({shares}), {max(10000, 40 * side ** 2)})").alias("__fine"))
+    cuts = cuts.withColumn("__coarse", F.filter("__fine", lambda _, i: i % side == side - 1))
     tagged = _with_small(counts, cuts, by)
 
     def below(bounds: Column) -> Column:
         return F.size(F.filter(bounds, lambda c: c < F.col(value)))
 
-    tagged = tagged.withColumn("__block", below(F.col("__coarse")) * _SIDE)
-    within = below(F.slice("__fine", F.col("__block") + 1, F.lit(_SIDE)))
+    tagged = tagged.withColumn("__block", below(F.col("__coarse")) * side)
+    within = below(F.slice("__fine", F.col("__block") + 1, F.lit(side)))
     return tagged.withColumn("__bucket", F.col("__block") + within).drop("__fine", "__coarse", "__block")
 
 

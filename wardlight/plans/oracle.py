@@ -30,14 +30,13 @@ def pick(values, index: str) -> str:
 
 def matches(text: str, patterns) -> str:
     """OR of regular expressions; word boundaries are spelled out with Unicode classes."""
-    parts = []
+    loose, words = [], []
     for pattern in patterns:
         for alt in pattern.split("|"):
-            body = alt.removeprefix(r"\b").removesuffix(r"\b")
-            left = _EDGE_L if alt.startswith(r"\b") else ""
-            right = _EDGE_R if alt.endswith(r"\b") else ""
-            body = body.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\d", r"\p{Nd}")
-            parts.append(f"{left}(?:{body}){right}")
+            body = alt.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\d", r"\p{Nd}")
+            whole = body.startswith(r"\b") and body.endswith(r"\b")
+            (words if whole else loose).append(body[2:-2] if whole else body)
+    parts = loose + ([f"{_EDGE_L}(?:{'|'.join(words)}){_EDGE_R}"] if words else [])
     return f"regexp_matches({text}, '{'|'.join(parts)}')"
 
 
@@ -186,9 +185,9 @@ PARTS["ins"] = """SELECT DISTINCT user_id AS "user" FROM events WHERE event_type
 def _user_scores(source: str) -> str:
     return f"""
 SELECT "user", max(score) AS score_max, avg(score) AS score_mean, coalesce(quantile_cont(score, 0.95), 0) AS score_p95,
-  (array_agg(dataset_split ORDER BY n DESC, dataset_split))[1] AS dataset_split,
+  (array_agg(dataset_split ORDER BY cnt DESC, dataset_split))[1] AS dataset_split,
   CASE WHEN "user" IN (SELECT "user" FROM {{ins}}) THEN 1 ELSE 0 END AS is_insider
-FROM (SELECT *, count(*) OVER (PARTITION BY "user", dataset_split) AS n FROM {source}) GROUP BY "user" """
+FROM (SELECT *, count(*) OVER (PARTITION BY "user", dataset_split) AS cnt FROM {source}) GROUP BY "user" """
 
 
 PARTS["us_window"] = _user_scores("(SELECT * FROM {ws} WHERE severity <> 'undetermined')")
@@ -200,10 +199,10 @@ SELECT "user", avg(after_hours_ratio) AS after_hours_rate, avg(bcc_ratio) AS bcc
   CAST(sum(file_to_removable) AS BIGINT) AS total_file_exfil, CAST(sum(file_total) AS BIGINT) AS total_file_ops,
   CAST(sum(usb_connect_count) AS BIGINT) AS total_usb, CAST(sum(after_hours_logons) AS BIGINT) AS total_ah_logons,
   CAST(sum(logon_count) AS BIGINT) AS total_logons, max(unique_logon_pcs) AS max_unique_pcs,
-  (array_agg(dataset_split ORDER BY n DESC, dataset_split))[1] AS dataset_split, min(employee_name) AS employee_name,
+  (array_agg(dataset_split ORDER BY cnt DESC, dataset_split))[1] AS dataset_split, min(employee_name) AS employee_name,
   CAST(sum(file_to_removable) AS DOUBLE) / (sum(file_total) + 1) AS file_exfil_rate,
   CAST(sum(after_hours_logons) AS DOUBLE) / (sum(logon_count) + 1) AS ah_logon_rate
-FROM (SELECT *, count(*) OVER (PARTITION BY "user", dataset_split) AS n FROM {uds}) GROUP BY "user" """
+FROM (SELECT *, count(*) OVER (PARTITION BY "user", dataset_split) AS cnt FROM {uds}) GROUP BY "user" """
 
 PARTS["act_sens"] = f"""
 SELECT "user", avg(m) AS content_sensitivity_rate FROM (SELECT "user", day, max(s) AS m FROM (
@@ -284,7 +283,9 @@ FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS prec, tp
 def grid(aggregations, percentiles, ks) -> str:
     long = " UNION ALL ".join(
         f"SELECT model, \"user\", dataset_split, is_insider, '{a}' AS agg, {a} AS value FROM {{models}}" for a in aggregations)
-    pcts = ", ".join(f"({p}, {p} / 100)" for p in percentiles)
+    cuts = " UNION ALL ".join(
+        f"SELECT model, agg, {p} AS thresh_pct, quantile_cont(value, {p / 100}) AS cutoff FROM ({long}) "
+        "WHERE dataset_split = 'train' GROUP BY model, agg" for p in percentiles)
     return f"""
 SELECT model, agg, thresh_pct, k, cutoff, pool, actual_k, tp / actual_k AS precision, tp / labelled AS recall,
   CASE WHEN tp > 0 THEN 2 * (tp / actual_k) * (tp / labelled) / (tp / actual_k + tp / labelled) ELSE 0 END AS f1,
@@ -292,9 +293,7 @@ SELECT model, agg, thresh_pct, k, cutoff, pool, actual_k, tp / actual_k AS preci
   SELECT model, agg, thresh_pct, k, cutoff, count(*) AS pool, least(k, count(*)) AS actual_k,
     count(*) FILTER (is_insider = 1 AND pos <= k) AS tp, (SELECT count(*) FROM {{ins}}) AS labelled FROM (
     SELECT l.*, thresh_pct, cutoff, row_number() OVER (PARTITION BY l.model, l.agg, thresh_pct ORDER BY value DESC, "user") AS pos
-    FROM ({long}) l JOIN (SELECT model, agg, thresh_pct, quantile_cont(value, p) AS cutoff FROM ({long}),
-      (VALUES {pcts}) t(thresh_pct, p) WHERE dataset_split = 'train' GROUP BY model, agg, thresh_pct, p) c
-    ON l.model = c.model AND l.agg = c.agg AND value >= cutoff), (SELECT unnest({list(ks)}) AS k)
+    FROM ({long}) l JOIN ({cuts}) c ON l.model = c.model AND l.agg = c.agg AND value >= cutoff), (SELECT unnest({list(ks)}) AS k)
   GROUP BY model, agg, thresh_pct, k, cutoff)"""
 
 
@@ -441,7 +440,7 @@ WHERE doc_id % 50 <> 7 AND doc_id % 40 <> 3""",
     "window_7row": """SELECT "user", email_day, CASE WHEN count(*) OVER w = 7 THEN
   string_agg(CAST(CAST(cents AS BIGINT) AS VARCHAR), ',') OVER w END AS window_values FROM {dv}
   WINDOW w AS (PARTITION BY "user" ORDER BY email_day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
-    "error_to_score": "SELECT * REPLACE (" + r6("error", "score") + ") FROM {ws}",
+    "error_to_score": "SELECT * REPLACE (round(error, 2) AS error, " + r6("score") + ") FROM {ws}",
     "minmax_severity": "SELECT * REPLACE (" + r6("score") + ") FROM {ds}",
     "scaled_features": 'SELECT "user", email_day, ' + ", ".join(
         f"round((CAST({c} AS DOUBLE) - (SELECT min({c}) FROM {{uds}} WHERE dataset_split = 'train')) / (SELECT coalesce(nullif("

@@ -12,7 +12,7 @@ from wardlight.operators import (clean, features, forest, metrics, order_stats,
                                  search, sensitivity, signals, splits, topk, truth, windows)
 from wardlight.plans import roles
 from wardlight.sources import readers, sinks
-from wardlight.sources.stage import stage
+from wardlight.sources.stage import spread, stage
 from wardlight.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,8 +170,8 @@ def keyword_tier(spark, folder):
 
 @query
 def keyword_tier_lexicon(spark, folder):
-    return roles.table(spark, folder, "documents").select(
-        "doc_id", rules.keyword_tier("text", roles.LEXICON).alias("tier"))
+    docs = spread(roles.table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", rules.keyword_tier("text", roles.LEXICON).alias("tier"))
 
 
 @query
@@ -228,7 +228,8 @@ def window_7row(spark, folder):
 
 @query
 def error_to_score(spark, folder):
-    return rounded(roles.window_scores(spark, folder))
+    scored = roles.window_scores(spark, folder)
+    return rounded(scored.withColumn("error", F.round("error", 2)))
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardlight import fixed
 from wardlight.functions.time import after_hours
 from wardlight.operators import features, forest, risk, sensitivity, signals, splits, windows
-from wardlight.sources.stage import stage
+from wardlight.sources.stage import spread, stage
 
 ACTIVITY = {"signup": "Logon", "error": "Logoff", "click": "Connect", "view": "Disconnect",
             "purchase": "File Write"}
@@ -37,10 +37,10 @@ def pick(values, index) -> F.Column:
 
 # --- activity logs ---------------------------------------------------------------
 
-def activity(spark, folder) -> DataFrame:
+def activity(spark, folder, kinds=tuple(ACTIVITY)) -> DataFrame:
     """`events` as one cleaned activity log (logon, device and file events)."""
     kind = F.create_map(*[F.lit(x) for pair in ACTIVITY.items() for x in pair])
-    return table(spark, folder, "events").select(
+    return table(spark, folder, "events").where(F.col("event_type").isin(*kinds)).select(
         F.col("event_id").alias("id"), F.col("ts").alias("date"), F.col("user_id").alias("user"),
         F.get_json_object("props", "$.k").alias("pc"), F.try_element_at(kind, "event_type").alias("activity"),
         F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), after_hours("ts").alias("is_after_hours"),
@@ -50,15 +50,15 @@ def activity(spark, folder) -> DataFrame:
 
 
 def logons(spark, folder) -> DataFrame:
-    return activity(spark, folder).where(F.col("activity").isin("Logon", "Logoff"))
+    return activity(spark, folder, ("signup", "error"))
 
 
 def devices(spark, folder) -> DataFrame:
-    return activity(spark, folder).where(F.col("activity").isin("Connect", "Disconnect"))
+    return activity(spark, folder, ("click", "view"))
 
 
 def files(spark, folder) -> DataFrame:
-    return activity(spark, folder).where(F.col("activity") == "File Write")
+    return activity(spark, folder, ("purchase",))
 
 
 def raw_activity(spark, folder) -> DataFrame:
@@ -132,7 +132,7 @@ def traits(spark, folder) -> DataFrame:
 def message_events(spark, folder) -> DataFrame:
     """`documents` as cleaned email events with whole-text content."""
     doc = F.col("doc_id")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "text")).select(
         F.col("source").alias("user"),
         F.date_add(F.lit("2024-01-01").cast("date"), (doc % 30).cast("int")).alias("email_day"),
         doc, F.col("text").alias("content"), (doc % 2).cast("int").alias("has_attachment"),
@@ -142,7 +142,7 @@ def message_events(spark, folder) -> DataFrame:
 def file_events(spark, folder) -> DataFrame:
     """`documents` as cleaned file events: derived names, signatures, media flags."""
     doc = F.col("doc_id")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "text")).select(
         F.col("source").alias("user"),
         F.date_add(F.lit("2024-01-01").cast("date"), (doc % 30).cast("int")).alias("day"), doc,
         F.concat(F.lit("doc_"), doc.cast("string"), pick(SUFFIXES, doc)).alias("filename"),
@@ -153,7 +153,7 @@ def file_events(spark, folder) -> DataFrame:
 
 def planted_text(spark, folder) -> DataFrame:
     """`documents` with one planted phrase each (whole text kept)."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", F.concat(F.col("text"), F.lit(" "), pick(PLANTED, F.col("doc_id"))).alias("content"))
 
 

@@ -20,6 +20,16 @@ def shared_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core for a CPU-bound step over a scan with few splits.
+
+    `scan` is a plain scan (no shuffle below it). Large inputs have more splits than
+    cores and pass through untouched.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def fitted(df: DataFrame) -> dict:
     """The single row of a fit (ranges, cutoffs) as plain values.
 
