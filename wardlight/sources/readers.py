@@ -65,9 +65,9 @@ def read_csv(spark: SparkSession, path: str, tolerant: bool = False,
         .schema(strings([*names, _BAD])).csv(path)
     )
     bad = F.col(_BAD)
-    # The first data column takes part so that a plain count() may run on this scan.
-    width = F.lit(len(names)) + F.coalesce(F.length(F.col(names[0])), F.lit(0)) * 0
-    kept = raw.where(bad.isNull() | (_field_count(bad) <= width)).drop(_BAD)
+    # Always true: it makes a data column part of the scan, which count() needs.
+    touched = F.coalesce(F.length(names[0]), F.lit(0)) > -1
+    kept = raw.where((bad.isNull() | (_field_count(bad) <= len(names))) & touched).drop(_BAD)
     return kept.limit(limit) if limit is not None else kept
 
 
