@@ -10,7 +10,10 @@ BLANKS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_BLANK_RUN = "[" + BLANKS + "]+"
+_BLANK = r"\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x09-\x0d"
+# Only runs that change are matched (two blanks, or one that is not a space), and most
+# characters are turned away by the lookahead: text that is already clean is not rebuilt.
+_BLANK_RUN = rf"(?=[\x00-\x20\x7f-\uffff])(?: [ {_BLANK}]+|[{_BLANK}][ {_BLANK}]*)"
 
 
 def as_column(c) -> Column:

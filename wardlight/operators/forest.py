@@ -17,7 +17,7 @@ from wardlight.fixed import FOREST_FEATURES
 from wardlight.functions.scale import at_least, clip, min_max, severity
 from wardlight.operators.order_stats import fit_quantiles
 from wardlight.operators.scaling import fit_ranges
-from wardlight.sources.stage import stage
+from wardlight.sources.stage import spread, stage
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, "
                "left int, right int, path double")
@@ -43,23 +43,35 @@ def _uniform(seed: int, *parts) -> Column:
     return bits.cast("double") / F.lit(float(2 ** 53))
 
 
+def _prime_from(n: int) -> int:
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def sample_for_trees(train: DataFrame, keys, vector: Column, trees: int = 300,
                      subsample: int = 256, seed: int = 42) -> DataFrame:
     """(tree, x): up to `subsample` distinct rows per tree, drawn evenly from `train`.
 
-    Each row decides by hash, in a narrow stage, which trees it joins, at a rate a
-    little above the need; each tree then keeps the lowest hashes. A first hash test
-    spares nearly all rows of a large table the per-tree tests. What is shuffled is
-    about trees * subsample rows whatever the table size.
+    Each row decides by hash, in a narrow stage, how many and which trees it joins, at a
+    rate a little above the need; each tree then keeps the lowest hashes. A row's trees
+    are steps around a circle of prime size, so they are distinct and every tree is
+    equally likely. What is shuffled is about trees * subsample rows whatever the table
+    size, and most rows of a large table end after one hash.
     """
+    circle = _prime_from(trees)
     size = train.agg(F.count(F.lit(1)).alias("n")).scalar().cast("double")
-    rate = F.least(F.lit(1.0), F.lit(_OVERSAMPLE * subsample + 32.0) / size)
-    gate = F.least(F.lit(1.0), rate * trees)
-    rows = train.select(*keys, vector.alias("x"), rate.alias("__rate"), gate.alias("__gate"))
-    rows = rows.where(_uniform(seed, *keys) < F.col("__gate"))
-    joined = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: _uniform(seed + 1, *keys, t) * F.col("__gate") < F.col("__rate"))
-    drawn = rows.select(*keys, "x", F.explode(joined).alias("tree"))
+    rate = F.least(F.lit(1.0), F.lit(_OVERSAMPLE * subsample + 32.0) / size) * circle
+    rows = train.select(*keys, vector.alias("x"), rate.alias("__rate"))
+    times = F.floor("__rate") + (_uniform(seed, *keys) < F.col("__rate") - F.floor("__rate")).cast("int")
+    rows = rows.withColumn("__times", times.cast("int")).where("__times > 0")
+    first = F.floor(_uniform(seed + 1, *keys) * circle)
+    step = F.floor(_uniform(seed + 3, *keys) * (circle - 1)) + 1
+    drawn = rows.select(*keys, "x", first.alias("__first"), step.alias("__step"),
+                        F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("__i"))
+    drawn = drawn.withColumn("tree", ((F.col("__first") + F.col("__i") * F.col("__step")) % circle).cast("int"))
+    drawn = drawn.where(F.col("tree") < trees)
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), *keys, "tree"), *keys)
     return (drawn.withColumn("__rank", F.row_number().over(order))
             .where(F.col("__rank") <= subsample).select("tree", "__rank", "x"))
@@ -170,5 +182,5 @@ def score_user_days(user_days: DataFrame, features=FOREST_FEATURES, keys=("user"
     train = user_days.where(F.col("dataset_split") == "train")
     nodes = stage(fit_forest(train, list(keys), features, trees, subsample, seed), "forest-nodes")
     size = min(subsample, train.count())
-    scored = stage(score_forest(user_days, nodes, features, size), "forest-scores")
+    scored = stage(score_forest(spread(user_days), nodes, features, size), "forest-scores")
     return normalize_scores(scored)

@@ -16,49 +16,50 @@ def _column(df: DataFrame, name: str):
 
 
 def score_email(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES) -> DataFrame:
-    """Score cleaned email events (user, email_day, event_score); PUBLIC rows are dropped.
+    """Score cleaned email events: (user, email_day, event_score), 0 is PUBLIC.
 
-    A long message with an attachment is one tier up, at most 3.
+    A long message with an attachment is one tier up, at most 3. PUBLIC rows are left
+    out by the aggregates, not filtered here: a filter on the score would be pushed to
+    the scan and run every rule twice.
     """
     boost = ((_column(df, "content_length_words") > 500) & (_column(df, "has_attachment") == 1)).cast("int")
-    scored = df.select(
+    return df.select(
         "user", "email_day",
         F.least(rules.keyword_tier("content", keyword_rules) + boost, F.lit(3)).alias("event_score"))
-    return scored.where("event_score > 0")
 
 
 def file_event_score(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES, legacy_prefix: bool = False):
     """Expression of the file event tier (0..3)."""
     ext = rules.extension_tier("filename")
-    base = F.greatest(ext, rules.signature_tier("content", legacy_prefix=legacy_prefix),
-                      rules.keyword_tier("content", keyword_rules))
     to_usb = _column(df, "to_removable_media") == 1
     from_usb = _column(df, "from_removable_media") == 1
     written = to_usb & (_column(df, "is_write") == 1)
-    return (
-        F.when(written & (ext >= 3), 3)
-        .when(written, F.greatest(base, F.lit(2)))
-        .when(to_usb | from_usb, F.greatest(base, F.lit(1)))
-        .otherwise(base).cast("int")
-    )
+    floor = F.when(written, 2).when(to_usb | from_usb, 1).otherwise(0)
+    metadata = F.greatest(ext, rules.signature_tier("content", legacy_prefix=legacy_prefix), floor)
+    # 3 is the top: content is read only when the metadata has not settled it.
+    return F.when(metadata >= 3, 3).otherwise(
+        F.greatest(metadata, rules.keyword_tier("content", keyword_rules))).cast("int")
 
 
 def score_file(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES, legacy_prefix: bool = False) -> DataFrame:
-    """Score cleaned file events (user, email_day, event_score); PUBLIC rows are dropped."""
+    """Score cleaned file events: (user, email_day, event_score), 0 is PUBLIC."""
     score = file_event_score(df, keyword_rules, legacy_prefix)
-    return df.select("user", F.col("day").alias("email_day"), score.alias("event_score")).where("event_score > 0")
+    return df.select("user", F.col("day").alias("email_day"), score.alias("event_score"))
 
 
 def sensitivity_daily(*scored: DataFrame) -> DataFrame:
-    """Union scored sources and aggregate to one row per (user, day)."""
+    """Union scored sources and aggregate to one row per (user, day).
+
+    PUBLIC events take no part: the mean is over the others, and a day with none has no row.
+    """
     events = reduce(DataFrame.unionByName, scored)
     tier = F.col("event_score")
     daily = events.groupBy("user", "email_day").agg(
-        (F.sum(tier) / F.count(tier)).alias("mean_score"),
+        (F.sum(tier) / F.nullif(F.count_if(tier > 0), F.lit(0))).alias("mean_score"),
         F.max(tier).alias("max_sensitivity_score"),
         F.count_if(tier >= 2).alias("sensitive_event_count"),
         F.count_if(tier == 3).alias("restricted_event_count"),
-    )
+    ).where("max_sensitivity_score > 0")
     return daily.select(
         "user", "email_day",
         F.bround(clip("mean_score", 0.0, 3.0), 4).alias("sensitivity_score"),

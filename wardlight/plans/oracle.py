@@ -230,7 +230,7 @@ PARTS["risk"] = "SELECT *, " + " + ".join(
 
 PARTS["msgs"] = f"""
 SELECT source AS "user", {_DAY30} AS email_day, least({keyword('text', LEXICON)} +
-  CASE WHEN doc_id % 2 = 1 AND len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 500 THEN 1 ELSE 0 END, 3) AS event_score
+  CASE WHEN doc_id % 2 = 1 AND length(text) - length(replace(text, ' ', '')) + 1 > 500 THEN 1 ELSE 0 END, 3) AS event_score
 FROM documents"""
 PARTS["docfiles"] = f"""
 SELECT doc_id, source AS "user", {_DAY30} AS email_day, 'doc_' || doc_id || {pick(SUFFIXES, 'doc_id')} AS filename,
@@ -426,9 +426,8 @@ WHERE doc_id % 50 <> 7 AND doc_id % 40 <> 3""",
   UNION ALL SELECT -1 - page_id, url FROM pages)""",
     "signature_tier": f"""SELECT doc_id, {signature('content')} AS tier,
   CASE WHEN starts_with(content, '4D-5A') THEN 3 ELSE 0 END AS legacy_tier FROM {{docfiles}}""",
-    "email_sensitivity": """SELECT "user", email_day, event_score, count(*) AS events FROM {msgs}
-  WHERE event_score > 0 GROUP BY 1, 2, 3""",
-    "file_sensitivity": "SELECT doc_id, event_score FROM {filescores} WHERE event_score > 0",
+    "email_sensitivity": """SELECT "user", email_day, event_score, count(*) AS events FROM {msgs} GROUP BY 1, 2, 3""",
+    "file_sensitivity": "SELECT doc_id, event_score FROM {filescores}",
     "sensitivity_daily": "SELECT * FROM {sd}",
     "sensitivity_user": """SELECT "user", round(avg(max_sensitivity_score), 6) AS content_sensitivity_rate,
   CAST(sum(sensitive_event_count) AS BIGINT) AS total_sensitive_events,

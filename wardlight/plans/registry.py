@@ -199,7 +199,7 @@ def email_sensitivity(spark, folder):
 @query
 def file_sensitivity(spark, folder):
     score = sensitivity.file_event_score(roles.file_events(spark, folder), roles.LEXICON)
-    return roles.file_events(spark, folder).select("doc_id", score.alias("event_score")).where("event_score > 0")
+    return roles.file_events(spark, folder).select("doc_id", score.alias("event_score"))
 
 
 @query
@@ -535,5 +535,5 @@ def stream_sensitivity(spark, folder):
     events = docs.select(
         F.col("source").alias("user"), day.alias("email_day"), F.col("text").alias("content"),
         (F.col("doc_id") % 2).cast("int").alias("has_attachment"),
-        F.regexp_count("text", F.lit("[^ \\t\\r\\n]+")).alias("content_length_words"))
+        roles.spaced_words("text").alias("content_length_words"))
     return logs.run_to_table(logs.sensitivity_totals(sensitivity.score_email(events, roles.LEXICON)), "sensitivity")

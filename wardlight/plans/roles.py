@@ -81,7 +81,7 @@ def raw_activity(spark, folder) -> DataFrame:
 def raw_emails(spark, folder) -> DataFrame:
     """`documents` as an uncleaned text email log; lists come from the whole text."""
     doc, text = F.col("doc_id"), F.col("text")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")).select(
         doc.cast("string").alias("id"),
         F.concat(F.lit("1/"), (doc % 30 + 1).cast("string"), F.lit("/2024 "), (doc % 24).cast("string"),
                  F.lit(":05:09")).alias("date"),
@@ -129,6 +129,11 @@ def traits(spark, folder) -> DataFrame:
 
 # --- documents as events with content ----------------------------------------------
 
+def spaced_words(c) -> F.Column:
+    """Words as spaces + 1."""
+    return F.length(c) - F.length(F.replace(c, F.lit(" "))) + 1
+
+
 def message_events(spark, folder) -> DataFrame:
     """`documents` as cleaned email events with whole-text content."""
     doc = F.col("doc_id")
@@ -136,7 +141,7 @@ def message_events(spark, folder) -> DataFrame:
         F.col("source").alias("user"),
         F.date_add(F.lit("2024-01-01").cast("date"), (doc % 30).cast("int")).alias("email_day"),
         doc, F.col("text").alias("content"), (doc % 2).cast("int").alias("has_attachment"),
-        F.regexp_count("text", F.lit("[^ \\t\\r\\n]+")).alias("content_length_words"))
+        spaced_words("text").alias("content_length_words"))
 
 
 def file_events(spark, folder) -> DataFrame:

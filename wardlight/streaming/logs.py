@@ -45,7 +45,7 @@ def sensitivity_totals(scored: DataFrame) -> DataFrame:
     return scored.groupBy("user", "email_day").agg(
         F.sum(tier).alias("sum_score"), F.max(tier).alias("max_score"),
         F.count_if(tier >= 2).alias("sensitive_count"), F.count_if(tier == 3).alias("restricted_count"),
-        F.count(tier).alias("total_events"))
+        F.count_if(tier > 0).alias("total_events")).where("max_score > 0")
 
 
 def start_table(df: DataFrame, path: str, name: str, mode: str = "complete") -> StreamingQuery:
