@@ -136,7 +136,7 @@ _OTHERS = fixed.LOGON_FEATURES + fixed.DEVICE_FEATURES + fixed.FILE_FEATURES
 _FILLED = ", ".join(f"coalesce({c}, 0) AS {c}" for c in _OTHERS)
 
 PARTS["people"] = """
-SELECT c_name AS employee_name, c_custkey AS user_id, {cols} FROM customer WHERE c_custkey % 5 <> 4""".replace(
+SELECT c_name AS employee_name, c_custkey AS user_id, {cols} FROM customer WHERE c_acctbal >= 0""".replace(
     "{cols}", ", ".join(f"CAST((c_custkey * {m} + c_nationkey) % 50 AS DOUBLE) AS {t}"
                         for t, m in zip(fixed.TRAITS, (1, 3, 7, 11, 13))))
 
@@ -321,7 +321,7 @@ SELECT CAST(cand AS INTEGER) AS cand, CAST(gene AS INTEGER) AS gene, CAST(CASE W
 FROM (SELECT unnest(range({size})) AS cand), (SELECT unnest(range(14)) AS gene)"""
 
 
-PARTS["cands"] = candidates("(SELECT count(*) FROM nation)")
+PARTS["cands"] = candidates("(SELECT count(*) FROM supplier)")
 PARTS["cands16"] = candidates("16")
 PARTS["cw"] = "SELECT cand, " + ", ".join(
     f"max(value) FILTER (gene = {i}) AS g{i}" for i in range(14)) + " FROM {cands16} GROUP BY cand"
@@ -331,11 +331,11 @@ PARTS["cs"] = "SELECT cand, \"user\", is_insider, (" + " + ".join(
 
 PARTS["ordered"] = """
 SELECT cand, row_number() OVER (ORDER BY fitness DESC, cand) - 1 AS pos, fitness FROM (
-  SELECT n_nationkey AS cand, length(n_name) / 10 AS fitness FROM nation)"""
+  SELECT s_suppkey AS cand, s_acctbal AS fitness FROM supplier)"""
 PARTS["won"] = f"""
-SELECT child, parent, arg_max(o.cand, o.fitness * 1000 - draw) AS cand FROM (
-  SELECT child, draw, draw % 2 AS parent, CAST(floor({uniform('draw', "'1'", 'child', 'draw')} * (SELECT count(*) FROM nation)) AS BIGINT) AS pos
-  FROM (SELECT unnest(range(4, (SELECT count(*) FROM nation))) AS child), (SELECT unnest(range(10)) AS draw)) d
+SELECT child, parent, arg_max(o.cand, o.fitness * 1000000 - draw) AS cand FROM (
+  SELECT child, draw, draw % 2 AS parent, CAST(floor({uniform('draw', "'1'", 'child', 'draw')} * (SELECT count(*) FROM supplier)) AS BIGINT) AS pos
+  FROM (SELECT unnest(range(4, (SELECT count(*) FROM supplier))) AS child), (SELECT unnest(range(10)) AS draw)) d
 JOIN {{ordered}} o ON d.pos = o.pos GROUP BY 1, 2"""
 
 
@@ -377,7 +377,7 @@ SELECT CAST(doc_id AS VARCHAR) AS id, make_timestamp(2024, 1, doc_id % 30 + 1, d
   CAST(CASE WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, ' ', '')) + 1 END AS INTEGER) AS content_length_words,
   content FROM (SELECT *, {items("replace(text, '.', ';')")} AS a, {items("replace(text, ',', ';')")} AS b,
   CASE WHEN doc_id % 2 = 0 THEN {items("replace(text, '?', ';')")} ELSE 0 END AS c, {_CONTENT} AS content FROM documents)
-WHERE doc_id % 50 <> 7 AND doc_id % 40 <> 3""",
+WHERE n_chars BETWEEN 100 AND 12000""",
     "clean_logon": f"""SELECT {_CLOCKED}, {_ACTIVITY} AS activity,
   CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS is_logon FROM events WHERE value <= 250""",
     "clean_device": f"""SELECT {_CLOCKED}, {_ACTIVITY} AS activity,

@@ -450,8 +450,8 @@ def search_users(spark, folder) -> DataFrame:
 
 @query
 def random_candidates(spark, folder):
-    # one candidate per supplier nation, so the population follows the table
-    size = roles.table(spark, folder, "nation").count()
+    # one candidate per supplier, so the population follows the table
+    size = roles.table(spark, folder, "supplier").count()
     rows = search.random_candidates(spark, size).select("cand", F.posexplode("genes").alias("gene", "value"))
     return rounded(rows)
 
@@ -464,9 +464,10 @@ def candidate_fitness(spark, folder):
 
 @query
 def bred_generation(spark, folder):
-    size = roles.table(spark, folder, "nation").count()
-    value = roles.table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("cand"), (F.length("n_name") / 10).alias("fitness"))
+    # suppliers as candidates, their balance as fitness
+    value = roles.table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("cand"), F.col("s_acctbal").alias("fitness"))
+    size = value.count()
     scored = search.random_candidates(spark, size).join(value, "cand")
     bred = search.next_generation(scored, 1, size)
     return rounded(bred.select("cand", F.posexplode("genes").alias("gene", "value")))

@@ -90,8 +90,8 @@ def raw_emails(spark, folder) -> DataFrame:
         F.replace(text, F.lit(","), F.lit(";")).alias("cc"),
         F.when(doc % 2 == 0, F.replace(text, F.lit("?"), F.lit(";"))).alias("bcc"),
         F.concat(F.lit(" A@"), F.col("source")).alias("from"),
-        F.when(doc % 50 == 7, "n/a").otherwise(F.col("n_chars").cast("string")).alias("size"),
-        F.when(doc % 40 == 3, None).when(doc % 2 == 0, "a;b; ;c").otherwise(" ").alias("attachments"),
+        F.when(F.col("n_chars") > 12000, "n/a").otherwise(F.col("n_chars").cast("string")).alias("size"),
+        F.when(F.col("n_chars") < 100, None).when(doc % 2 == 0, "a;b; ;c").otherwise(" ").alias("attachments"),
         text.alias("content"))
 
 
@@ -120,9 +120,10 @@ def emails(spark, folder) -> DataFrame:
 
 
 def traits(spark, folder) -> DataFrame:
-    """`customer` as a cleaned trait table; a fifth of the users has no row."""
-    return table(spark, folder, "customer").where("c_custkey % 5 <> 4").select(
-        F.col("c_name").alias("employee_name"), F.col("c_custkey").alias("user_id"),
+    """`customer` as a cleaned trait table; customers in debt are filed under no user."""
+    return table(spark, folder, "customer").select(
+        F.col("c_name").alias("employee_name"),
+        F.when(F.col("c_acctbal") < 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("user_id"),
         *[((F.col("c_custkey") * m + F.col("c_nationkey")) % 50).cast("double").alias(t)
           for t, m in zip(fixed.TRAITS, (1, 3, 7, 11, 13))])
 
