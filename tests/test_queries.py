@@ -14,7 +14,7 @@ SQL_CHECKED = ["clean_email", "clean_logon", "clean_file", "dedupe_first", "emai
                "user_day_join", "date_split", "keyword_tier", "extension_tier", "sensitivity_daily", "error_to_score",
                "minmax_severity", "exact_quantiles", "behavior_signals", "risk_queue", "explain", "truth_days",
                "day_eval", "eval_grid", "score_histogram", "sample", "candidate_fitness", "bred_generation",
-               "stream_dedupe", "stream_user_day", "stream_sensitivity"]
+               "stream_clean", "stream_dedupe", "stream_user_day", "stream_sensitivity"]
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,8 @@
 """Row cleaning of the raw logs and dimension tables.
 
 Every cleaner takes a table of text columns and returns typed, filtered,
-de-duplicated rows with a fixed column order.
+de-duplicated rows with a fixed column order. The cleaners of the four logs also take a
+stream; repeats are then left to the streaming dedupe.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ def keep_first(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def _unique(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    # A stream drops repeats by state instead, see `streaming.logs.clean_stream`.
+    return df if df.isStreaming else keep_first(df, key, order)
+
+
 def _clock(df: DataFrame, day: str = "day", hour: str = "hour") -> dict:
     return {day: F.to_date("date"), hour: F.hour("date"), "is_after_hours": time.after_hours("date")}
 
@@ -51,7 +57,7 @@ def clean_email(raw: DataFrame, attachments: str = "paths") -> DataFrame:
         text.lenient_double("size").alias("size"), attached.alias("attachments"),
         F.lower(text.collapse_blanks("content")).alias("content"),
     ).na.drop(subset=["size"])
-    df = keep_first(df, "id", "date")
+    df = _unique(df, "id", "date")
     counts = {f"{c}_recipient_count": text.list_size(c) for c in ("to", "cc", "bcc")}
     df = df.withColumns(counts).withColumns({
         "has_attachment": (F.col("attachments") > 0).cast("int"),
@@ -77,7 +83,7 @@ def _clean_activity(df: DataFrame, required, extra: dict) -> DataFrame:
         text.strip("activity").alias("activity"),
         *[c.alias(n) for n, c in extra.items()],
     )
-    return keep_first(df, "id", "date")
+    return _unique(df, "id", "date")
 
 
 _ACTIVITY_REQUIRED = ("date", "id", "user", "pc", "activity")

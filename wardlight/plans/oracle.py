@@ -554,4 +554,6 @@ def _merge_with(body: str) -> str:
     return re.sub(r"\) WITH m AS", "), m AS", sql, count=1)
 
 
+BODIES["stream_clean"] = BODIES["clean_logon"]
+
 ORACLE: dict[str, str] = {name: _merge_with(body) for name, body in BODIES.items()}

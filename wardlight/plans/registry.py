@@ -38,17 +38,17 @@ def clean_email(spark, folder):
 
 @query
 def clean_logon(spark, folder):
-    return clean.clean_logon(roles.raw_activity(spark, folder))
+    return clean.clean_logon(roles.raw_activity(roles.table(spark, folder, "events")))
 
 
 @query
 def clean_device(spark, folder):
-    return clean.clean_device(roles.raw_activity(spark, folder))
+    return clean.clean_device(roles.raw_activity(roles.table(spark, folder, "events")))
 
 
 @query
 def clean_file(spark, folder):
-    raw = readers.normalize_header(roles.raw_activity(spark, folder)).drop("activity")
+    raw = readers.normalize_header(roles.raw_activity(roles.table(spark, folder, "events"))).drop("activity")
     return clean.clean_file(raw)
 
 
@@ -517,6 +517,13 @@ def activity_stream(spark, folder) -> DataFrame:
         ((F.hour("ts") < 7) | (F.hour("ts") > 20)).cast("int").alias("is_after_hours"))
 
 
+@query
+def stream_clean(spark, folder):
+    raw = roles.raw_activity(logs.read_parquet_stream(spark, folder, "events.parquet"))
+    table = logs.run_to_table(logs.clean_stream(raw, clean.clean_logon), "clean", "append")
+    return table.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
 @query
 def stream_dedupe(spark, folder):
     table = logs.run_to_table(logs.dedupe_stream(activity_stream(spark, folder)), "dedupe", "append")

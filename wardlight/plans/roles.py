@@ -61,11 +61,11 @@ def files(spark, folder) -> DataFrame:
     return activity(spark, folder, ("purchase",))
 
 
-def raw_activity(spark, folder) -> DataFrame:
+def raw_activity(events: DataFrame) -> DataFrame:
     """`events` as an uncleaned text log: padded values, bad dates, exact copies."""
     kind = F.create_map(*[F.lit(x) for pair in ACTIVITY.items() for x in pair])
     stamp = F.date_format("ts", "M/d/yyyy H:mm:ss")
-    rows = table(spark, folder, "events").select(
+    rows = events.select(
         F.concat(F.lit("E"), F.col("event_id").cast("string")).alias(" ID"),
         F.when(F.col("value") > 250, F.concat(F.lit("/"), stamp)).otherwise(stamp).alias("Date"),
         F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit("\t")).alias("user"),

@@ -25,6 +25,11 @@ def dedupe_stream(cleaned: DataFrame, key: str = "id", date: str = "date", delay
     return timed.withWatermark(date, delay).dropDuplicatesWithinWatermark([key])
 
 
+def clean_stream(raw: DataFrame, cleaner, delay: str = "1 day") -> DataFrame:
+    """Clean a stream of raw rows with a batch cleaner, then keep the first arrival per id."""
+    return dedupe_stream(cleaner(raw), "id", "date", delay)
+
+
 def user_day_counts(events: DataFrame, date: str = "date", delay: str = "1 day") -> DataFrame:
     """Logon, device and file counts per (user, day) of a stream of cleaned activity.
 
