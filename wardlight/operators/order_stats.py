@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlight.sources.stage import fitted, stage
@@ -19,27 +20,24 @@ SMALL = 200_000
 
 
 def _side(spark) -> int:
-    """Buckets are side ** 2, at least one per shuffle partition; a row finds its bucket
-    in 2 * side comparisons."""
+    """Buckets are side ** 2, at least one per shuffle partition; with groups, a row finds
+    its bucket in 2 * side comparisons."""
     return max(16, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1) + 1)
 
 
-def _with_small(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
-    """Attach a per-group (or one-row) table of bounded size."""
-    if by:
-        return df.join(F.broadcast(small), by)
-    names = small.columns
-    row = small.select(F.struct(*names)).scalar()
-    return df.withColumns({n: row[n] for n in names})
-
-
 def _bucketed(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
     side = _side(counts.sparkSession)
     shares = ", ".join(f"{i / side ** 2}D" for i in range(1, side ** 2))
     cuts = counts.groupBy(*by).agg(
         F.expr(f"percentile_approx(`{value}`, array({shares}), {max(10000, 40 * side ** 2)})").alias("__fine"))
+    if not by:
+        # One table: the cuts are a fit of fixed size, looked up by binary search.
+        found = {c for c in fitted(cuts)["__fine"] or [] if not math.isnan(c)}
+        ends = [-math.inf, *sorted(found - {math.inf, -math.inf}), math.inf]
+        buckets = Bucketizer(splits=ends, inputCol=value, outputCol="__bucket", handleInvalid="keep")
+        return buckets.transform(counts).withColumn("__bucket", F.col("__bucket").cast("int"))
     cuts = cuts.withColumn("__coarse", F.filter("__fine", lambda _, i: i % side == side - 1))
-    tagged = _with_small(counts, cuts, by)
+    tagged = counts.join(F.broadcast(cuts), by)  # one row per group of the caller's grid
 
     def below(bounds: Column) -> Column:
         return F.size(F.filter(bounds, lambda c: c < F.col(value)))
