@@ -4,20 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import line_join, mixing, quality_lines, simhash_groups, winnow
+from wardlight.llm import (language, licences, line_join, mixing, neural_lm, pii, quality_lines, simhash_groups,
+                            warc_index, winnow)
 from wardlight.llm.common import table
 
 
+def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.capture_history(table(spark, sf_dir, "pages"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_lines.line_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        "base_failed", "kept")
 
 
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_join.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups.simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "fingerprint", "component_id")
@@ -32,8 +53,13 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_crf_pii": op1_crf_pii,
+    "op2_warc_merge": op2_warc_merge,
     "op3_line_quality": op3_line_quality,
+    "op4_crf_language": op4_crf_language,
     "op5_line_edit_join": op5_line_edit_join,
+    "op6_log_bilinear": op6_log_bilinear,
+    "op7_licence_classifier": op7_licence_classifier,
     "op8_simhash_groups": op8_simhash_groups,
     "op9_winnow_decontaminate": op9_winnow_decontaminate,
     "op10_temperature_mix": op10_temperature_mix,
