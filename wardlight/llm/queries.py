@@ -14,7 +14,8 @@ def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_index.capture_history(table(spark, sf_dir, "pages"))
+    return warc_index.capture_history(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
