@@ -54,5 +54,18 @@ def text_key(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("string"), F.lit("~")).alias("__key"), F.xxhash64(present(text)).alias("__text")]
 
 
-__all__ = ["BLANKS", "BLANK_CHARS", "NOT_ALNUM", "crc_mod", "let", "lower_ascii", "present", "stage", "table",
+def slices(texts: list[str], chars: int = 2_000_000):
+    """Consecutive parts of a batch of about `chars` characters, which bounds a worker's memory."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+__all__ = ["BLANKS", "BLANK_CHARS", "NOT_ALNUM", "crc_mod", "let", "lower_ascii", "present", "slices", "stage", "table",
            "text_key", "words"]

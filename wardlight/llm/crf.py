@@ -33,23 +33,32 @@ def lay_out(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, model: Model):
     """(forward, emission times backward) per token, each row up to a factor, and the sum of the
     log partition functions. `scores` holds one row per token, chains one after the other.
+
+    Works step by step on blocks that hold one token of every running chain.
     """
     _, first, running = lay_out(lengths)
-    e = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
-    logs = float(scores.max(axis=1).sum()) if len(scores) else 0.0
+    if not len(scores):
+        return scores, scores, scores, 0.0
+    top = scores.max(axis=1, keepdims=True)
+    e, logs = np.exp(scores - top), float(top.sum())
+    spots = np.concatenate([first[:n] + t for t, n in enumerate(running)])  # by step, then chain
+    edges = np.concatenate([[0], np.cumsum(running)])
+    rows = e[spots]
     move, begin = np.exp(model.steps), np.exp(model.start)
-    ahead, back = np.empty_like(e), e.copy()
+    ahead, back = np.empty_like(rows), rows.copy()
     for t, n in enumerate(running):
-        at = first[:n] + t
-        a = begin * e[at] if t == 0 else (ahead[at - 1] @ move) * e[at]
+        lo, hi = edges[t], edges[t + 1]
+        a = begin * rows[lo:hi] if t == 0 else (ahead[edges[t - 1]:edges[t - 1] + n] @ move) * rows[lo:hi]
         total = a.sum(axis=1, keepdims=True)
         logs += float(np.log(total).sum())
-        ahead[at] = a / total
+        np.divide(a, total, out=ahead[lo:hi])
     for t in range(len(running) - 2, -1, -1):
-        at = first[:running[t + 1]] + t
-        b = back[at + 1] @ move.T
-        back[at] *= b / b.sum(axis=1, keepdims=True)
-    return ahead, back, e, logs
+        n, lo = running[t + 1], edges[t]
+        b = back[edges[t + 1]:edges[t + 2]] @ move.T
+        back[lo:lo + n] *= b / b.sum(axis=1, keepdims=True)
+    out = np.empty((2, *rows.shape))
+    out[0, spots], out[1, spots] = ahead, back
+    return out[0], out[1], e, logs
 
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
@@ -59,6 +68,18 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarr
     return p / p.sum(axis=1, keepdims=True)
 
 
+def certain(scores: np.ndarray, lengths: np.ndarray, model: Model, label: int = 0) -> np.ndarray:
+    """Chains whose best path surely has `label` throughout.
+
+    A run of m other labels gains at most m + 1 transitions (one may be the start), each at most the range of the
+    transition weights; if `label` leads by more than twice that at every word, no run pays.
+    """
+    gap = max(np.ptp(model.steps), np.ptp(model.start))
+    lead = scores[:, label] - np.delete(scores, label, axis=1).max(axis=1)
+    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    return np.minimum.reduceat(lead, heads) > 2 * gap
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
     """The best label of every token (ties: the smaller label)."""
     order, first, running = lay_out(lengths)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardlight.llm import crf
-from wardlight.llm.common import crc_mod, present
+from wardlight.llm.common import crc_mod, present, slices
 
 #: Fixed value: the answer for a text without letters.
 UNKNOWN = "und"
@@ -101,21 +101,42 @@ def train(rows: list[tuple[str, str]]) -> tuple[crf.Model, dict[str, str]]:
 
 
 class Labeller:
-    def __init__(self, model: crf.Model, lexicon: dict[str, str]):
-        self.model, self.lexicon, self.rows = model, lexicon, {}
-        self.table = np.zeros((0, len(model.labels)))
+    """Scores of distinct words under a model, remembered between batches."""
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Label scores of the words; those of a distinct word are computed once."""
+    def __init__(self, model: crf.Model, lexicon: dict[str, str]):
+        self.model, self.lexicon, self.rows, self.names = model, lexicon, {}, {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows, self.names = {}, {}
+        self.table, self.wordy = np.zeros((0, len(self.model.labels))), np.zeros(0, bool)
+
+    def _learn(self, fresh: list[str]) -> None:
+        flat, sizes, names = [], [], self.names
+        for w in fresh:
+            self.rows[w] = len(self.rows)
+            found = _features(w, self.lexicon)
+            for n in found:
+                i = names.get(n)
+                if i is None:
+                    i = names[n] = crc32(n.encode("utf-8", "surrogatepass")) % WIDTH
+                flat.append(i)
+            sizes.append(len(found))
+        rows = self.model.weights[np.array(flat)]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        self.table = np.concatenate([self.table, np.add.reduceat(rows, starts, axis=0)])
+        self.wordy = np.append(self.wordy, np.fromiter((has_letter(w) for w in fresh), bool, len(fresh)))
+
+    def ids(self, words: list[str]) -> np.ndarray:
         if len(self.rows) > KNOWN:
-            self.rows, self.table = {}, np.zeros((0, len(self.model.labels)))
+            self._forget()
         fresh = [w for w in set(words) if w not in self.rows]
         if fresh:
-            for w in fresh:
-                self.rows[w] = len(self.rows)
-            ids = [feature_ids(w, self.lexicon) for w in fresh]
-            self.table = np.concatenate([self.table, crf.token_scores(ids, self.model)])
-        return self.table[np.fromiter((self.rows[w] for w in words), np.int64, len(words))]
+            self._learn(fresh)
+        return np.fromiter((self.rows[w] for w in words), np.int64, len(words))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        return self.table[self.ids(words)]
 
     def label(self, texts: list[str]) -> list[tuple[str, float, int]]:
         """(language, score, switches) of each text.
@@ -129,8 +150,9 @@ class Labeller:
         if not flat or not k:
             return [(UNKNOWN, 0.0, 0)] * len(texts)
         lengths = np.array([n for w in split for n in [CHAIN] * (len(w) // CHAIN) + [len(w) % CHAIN] if n])
-        p = crf.marginals(self.scores(flat), lengths, self.model)
-        wordy = np.fromiter((has_letter(w) for w in flat), bool, len(flat))
+        ids = self.ids(flat)
+        p = crf.marginals(self.table[ids], lengths, self.model)
+        wordy = self.wordy[ids]
         best = p.argmax(axis=1)
         owner = np.repeat(np.arange(len(texts)), [len(w) for w in split])
         total = np.stack([np.bincount(owner, p[:, j] * wordy, len(texts)) for j in range(k)], axis=1)
@@ -157,7 +179,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model, lexicon)
         for texts in batches:
-            yield pd.DataFrame(labeller.label(list(texts)), columns=["lang_pred", "score", "n_switches"])
+            rows = [r for part in slices(list(texts)) for r in labeller.label(part)]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "n_switches"])
 
     label.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     answer = F.pandas_udf(label, ANSWER)

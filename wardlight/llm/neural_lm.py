@@ -22,8 +22,9 @@ FOLDS, HELD = 7, 2      # documents whose crc32 is HELD modulo FOLDS are held ou
 HEAD = 20_000           # most frequent words, broadcast with their counts
 VOCAB = 512             # of these, words that the model predicts one by one
 DIM = 16
-NOISE = 48              # noise draws, shared by the tokens of a training batch
-BATCH = 4096
+NOISE = 24              # noise draws, shared by the tokens of a training batch
+BATCH = 8192
+ROWS = 400              # texts worked at a time
 RATE = 0.05            # adaptive step
 TABLE = "__key string, __text long, n_tokens long, n_head long, head_log double, model_log double, n_rare long, rare array<struct<w:binary,n:int>>"
 
@@ -43,10 +44,11 @@ class Net:
         sizes = [self.k * DIM, self.k * DIM, DIM, DIM]
         share = (counts + 1.0) / (counts + 1.0).sum()
         self.noise = share / share.sum()
+        self.lift = np.log(NOISE * self.noise).astype(np.float32)
         if flat is None:
             rng = np.random.default_rng(7)
             flat = np.concatenate([rng.normal(0, 0.1, 2 * self.k * DIM), np.ones(DIM), np.full(DIM, 0.5), np.log(share)])
-        self.flat = flat.astype(np.float64)
+        self.flat = flat.astype(np.float32)
         r, q, self.c1, self.c2, self.b = np.split(self.flat, np.cumsum(sizes))
         self.r, self.q = r.reshape(self.k, DIM), q.reshape(self.k, DIM)
 
@@ -55,7 +57,7 @@ class Net:
 
     def log_norms(self) -> np.ndarray:
         """log of the partition function for every pair of classes, in blocks of matrix products."""
-        out = np.empty((self.k, self.k))
+        out = np.empty((self.k, self.k), np.float32)
         for two in range(self.k):
             h = self.r * self.c1 + self.r[two] * self.c2
             s = h @ self.q.T + self.b
@@ -72,8 +74,8 @@ class Net:
             a, b, t = one[at:at + BATCH], two[at:at + BATCH], target[at:at + BATCH]
             noise = rng.choice(self.k, NOISE, p=self.noise)
             h = self.context(a, b)
-            good = _sigmoid((h * self.q[t]).sum(1) + self.b[t] - np.log(NOISE * self.noise[t]))
-            bad = _sigmoid(h @ self.q[noise].T + self.b[noise] - np.log(NOISE * self.noise[noise]))
+            good = _sigmoid((h * self.q[t]).sum(1) + self.b[t] - self.lift[t])
+            bad = _sigmoid(h @ self.q[noise].T + self.b[noise] - self.lift[noise])
             up = 1 - good
             dh = up[:, None] * self.q[t] - bad @ self.q[noise]
             dq = _summed(t, up[:, None] * h, self.k)
@@ -82,11 +84,11 @@ class Net:
             db = np.bincount(t, up, self.k) - np.bincount(noise, bad.sum(0), self.k)
             grads = (dr, dq, (dh * self.r[a]).sum(0), (dh * self.r[b]).sum(0), db)
             for x, g, sq in zip((self.r, self.q, self.c1, self.c2, self.b), grads, squares):
-                sq += g * g
-                x += RATE * g / np.sqrt(sq)
+                sq += (g * g).astype(np.float32)
+                x += np.float32(RATE) * g.astype(np.float32) / np.sqrt(sq)
 
     def start(self) -> list[np.ndarray]:
-        return [np.full(x.shape, 1.0) for x in (self.r, self.q, self.c1, self.c2, self.b)]
+        return [np.ones(x.shape, np.float32) for x in (self.r, self.q, self.c1, self.c2, self.b)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ def _summed(at: np.ndarray, step: np.ndarray, k: int) -> np.ndarray:
     order = np.argsort(at, kind="stable")
     line = at[order]
     first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-    out = np.zeros((k, step.shape[1]))
+    out = np.zeros((k, step.shape[1]), step.dtype)
     out[line[first]] = np.add.reduceat(step[order], first, axis=0)
     return out
 
@@ -146,17 +148,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     seen = np.array([r["c"] for r in top[:v]] + [total["n"] - sum(r["c"] for r in top[:v]), ends], float)
     place = {w: i for w, (i, _) in table.items() if i < v}
     net = _train(docs, Net(seen), place, v, folds, held)
+    norms = net.log_norms()  # (vocab + 2)^2 numbers, sent with the function
     rare_below = log10(seen[v] + total["v"] - v + 1)
     logs = {w: log10(c + 1) for w, (_, c) in table.items()}
     rare_head = {w: logs[w] for w, (i, _) in table.items() if i >= v}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norms, step = net.log_norms(), 500
         for big in batches:
-            for at in range(0, len(big), step):
-                yield part(big.iloc[at:at + step], norms)
+            for at in range(0, len(big), ROWS):
+                yield part(big.iloc[at:at + ROWS])
 
-    def part(b: pd.DataFrame, norms: np.ndarray) -> pd.DataFrame:
+    def part(b: pd.DataFrame) -> pd.DataFrame:
         split, ids, one, two, lengths = _classes(b["__body"], place, v)
         h = net.context(one, two)
         p = (h * net.q[ids]).sum(1) + net.b[ids] - norms[two, one]
@@ -207,10 +209,10 @@ def _train(docs: DataFrame, net: Net, place: dict[bytes, int], v: int, folds: in
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, rng, tokens = Net(np.zeros(net.k), net.flat.copy()), np.random.default_rng(11), 0
-        own.noise, squares = net.noise, own.start()
+        own.noise, own.lift, squares = net.noise, net.lift, own.start()
         for b in batches:
-            for at in range(0, len(b), 500):
-                _, ids, one, two, _ = _classes(b["__body"].iloc[at:at + 500], place, v)
+            for at in range(0, len(b), ROWS):
+                _, ids, one, two, _ = _classes(b["__body"].iloc[at:at + ROWS], place, v)
                 own.fit(one, two, ids, rng, squares)
                 tokens += len(ids)
         flat = np.concatenate([own.r.ravel(), own.q.ravel(), own.c1, own.c2, own.b])
@@ -224,5 +226,5 @@ def _train(docs: DataFrame, net: Net, place: dict[bytes, int], v: int, folds: in
         return net
     many = got[len(net.flat)]
     out = Net(np.zeros(net.k), np.array([got[i] / many for i in range(len(net.flat))]))
-    out.noise = net.noise
+    out.noise, out.lift = net.noise, net.lift
     return out

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm import crf
-from wardlight.llm.common import present
+from wardlight.llm.common import present, slices
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -90,6 +90,20 @@ def _features(word: str) -> list[str]:
             f"p{word[0] if not word[0].isalpha() else 'x'}{'+' in bare}"]
 
 
+def plain_form(word: str) -> str:
+    """A word that has the same features; letters-only words (and one end mark) share a few forms."""
+    end = word[-1] if word[-1] in ".,!" else ""
+    body = word[:-1] if end else word
+    if body.isalpha():
+        if body.islower():
+            return ("a" if len(body) == 1 else "ab") + end
+        if body.isupper():
+            return ("A" if len(body) == 1 else "AB") + end
+        if body[0].isupper() and body[1:].islower():
+            return ("Ab" if len(body) == 2 else "Abc") + end
+    return word
+
+
 def feature_ids(word: str, before: str, after: str) -> np.ndarray:
     names = [f"0{f}" for f in _features(word)]
     names += [f"-{f}" for f in _features(before)[1:3]] if before else ["-"]
@@ -160,7 +174,7 @@ class Tagger:
     """Scores of distinct words under a model, remembered between batches."""
 
     def __init__(self, model: crf.Model):
-        self.model, self.rows = model, {}
+        self.model, self.rows, self.forms = model, {}, {}
         self.own = self.left = self.right = np.zeros((0, len(model.labels)))
         edge = lambda sign: model.weights[crc32(sign.encode()) % WIDTH]
         self.edges = (edge("-"), edge("+"))
@@ -177,13 +191,16 @@ class Tagger:
 
     def ids(self, words: list[str]) -> np.ndarray:
         if len(self.rows) > KNOWN:
-            self.rows = {}
+            self.rows, self.forms = {}, {}
             self.own = self.left = self.right = np.zeros((0, len(self.model.labels)))
-        known, fresh = self.rows, []
+        known, forms, fresh = self.rows, self.forms, []
         for word in set(words):
             if word not in known:
-                known[word] = len(known)
-                fresh.append(word)
+                form = plain_form(word)
+                if form not in forms:
+                    forms[form] = len(forms)
+                    fresh.append(form)
+                known[word] = forms[form]
         if fresh:
             self._learn(fresh)
         return np.fromiter((known[word] for word in words), np.int64, len(words))
@@ -203,7 +220,12 @@ class Tagger:
         s[heads[1:] - 1] -= self.right[ids[heads[1:]]]
         s[heads] += self.edges[0]
         s[heads + lengths - 1] += self.edges[1]
-        return crf.viterbi(s, lengths, self.model)
+        out = np.zeros(len(s), np.int8)
+        open_ = ~crf.certain(s, lengths, self.model)
+        if open_.any():
+            tokens = np.repeat(open_, lengths)
+            out[tokens] = crf.viterbi(s[tokens], lengths[open_], self.model)
+        return out
 
 
 def added_spans(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:
@@ -246,18 +268,24 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: crf.Mo
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
         for texts in batches:
-            split = [_WORD.findall(t) for t in texts]
-            labels = tagger.tag(split)
-            ends = np.cumsum([len(w) for w in split])
             rows = []
-            for t, n, end in zip(texts, map(len, split), ends):
-                own = labels[end - n:end]
-                base = base_spans(t)
-                more = added_spans(t, own, base) if own.any() else []
-                counts = np.bincount([k for _, k, _ in base], minlength=4).tolist() if base else [0] * 4
-                rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(base + more), len(more)))
+            for part in slices(list(texts)):
+                rows += answer(tagger, part)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
+    def answer(tagger: Tagger, texts: list[str]) -> list[tuple]:
+        split = [_WORD.findall(t) for t in texts]
+        labels = tagger.tag(split)
+        ends = np.cumsum([len(w) for w in split])
+        rows = []
+        for t, n, end in zip(texts, map(len, split), ends):
+            own = labels[end - n:end]
+            base = base_spans(t)
+            more = added_spans(t, own, base) if own.any() else []
+            counts = np.bincount([k for _, k, _ in base], minlength=4).tolist() if base else [0] * 4
+            rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(base + more), len(more)))
+        return rows
+
     tag.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     spans = F.pandas_udf(tag, FOUND)
     return docs.select(F.col(key), spans(present(text)).alias("f")).select(key, "f.*")
