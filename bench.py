@@ -26,15 +26,15 @@ def short_messages(spark, folder: str) -> tuple[int, float]:
     from pyspark.sql import functions as F
 
     from wardlight.operators import sensitivity
-    from wardlight.sources.stage import spread, stage
+    from wardlight.sources.stage import stage
 
-    docs = spread(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text")
     table = stage(docs.select(
         F.col("source").alias("user"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("email_day"),
         F.explode(F.split("text", "\n")).alias("content")), "messages")
     rows = table.count()
     begin = time.perf_counter()
-    sensitivity.sensitivity_daily(sensitivity.score_email(spread(table))).write.format("noop").mode("overwrite").save()
+    sensitivity.sensitivity_daily(sensitivity.score_email(table)).write.format("noop").mode("overwrite").save()
     return rows, time.perf_counter() - begin
 
 

@@ -69,11 +69,10 @@ def test_dimensions(make):
 def test_csv_tolerance(spark, tmp_path):
     path = tmp_path / "email.csv"
     path.write_text(' ID ,Date,Note\n1,d,"a, ""b""\nsecond line"\n2,d\n3,d,x,extra\n4,d,y\n')
-    kept = readers.read_csv(spark, str(path), tolerant=True)
+    kept = readers.read_csv(spark, str(path), tolerant=True, multiline=True)
     assert kept.columns == ["id", "date", "note"]
     assert sorted((r.id, r.note) for r in kept.collect()) == [("1", 'a, "b"\nsecond line'), ("2", None), ("4", "y")]
     assert kept.count() == 3
-    assert readers.read_csv(spark, str(path), tolerant=True, limit=1).count() == 1
 
 
 def test_optional_and_required_inputs(spark, tmp_path):

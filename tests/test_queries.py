@@ -10,11 +10,7 @@ from conftest import SF_DIR
 
 import __spark_entry__ as driver
 
-SQL_CHECKED = ["clean_email", "clean_logon", "clean_file", "dedupe_first", "email_user_day", "user_day_features",
-               "user_day_join", "date_split", "keyword_tier", "extension_tier", "sensitivity_daily", "error_to_score",
-               "minmax_severity", "exact_quantiles", "behavior_signals", "risk_queue", "explain", "truth_days",
-               "day_eval", "eval_grid", "score_histogram", "sample", "candidate_fitness", "bred_generation",
-               "stream_clean", "stream_dedupe", "stream_user_day", "stream_sensitivity"]
+SQL_CHECKED = sorted(driver.ORACLE)
 
 
 @pytest.fixture(scope="module")

@@ -49,15 +49,9 @@ def extension_tier(filename, tiers=fixed.EXTENSION_TIERS) -> Column:
     return F.coalesce(F.try_element_at(table, ext), F.lit(fixed.EXTENSION_DEFAULT)).cast("int")
 
 
-def signature_tier(content, signatures=fixed.SIGNATURE_TIERS, legacy_prefix: bool = False) -> Column:
-    """Tier of a hex signature at the start of the content.
-
-    ``legacy_prefix=True`` looks only at the first 8 characters, so signatures
-    longer than that never match (the behaviour of earlier tooling).
-    """
+def signature_tier(content, signatures=fixed.SIGNATURE_TIERS) -> Column:
+    """Tier of a hex signature at the start of the content."""
     text = F.coalesce(as_column(content), F.lit(""))
-    if legacy_prefix:
-        text = F.substring(text, 1, 8)
     result = F.lit(0)
     for prefix, tier in sorted(signatures.items(), key=lambda kv: kv[1]):
         result = F.when(text.startswith(prefix), tier).otherwise(result)

@@ -16,6 +16,9 @@ _BLANK = r"\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x0
 _BLANK_RUN = rf"(?=[\x00-\x20\x7f-\uffff])(?: [ {_BLANK}]+|[{_BLANK}][ {_BLANK}]*)"
 
 
+_DECIMAL = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
 def as_column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -47,13 +50,15 @@ def word_count(collapsed) -> Column:
 
 def list_size(c, sep: str = ";") -> Column:
     """Number of non-blank items of a separated list; null or blank gives 0."""
-    items = F.filter(F.split(as_column(c), sep), lambda x: F.length(strip(x)) > 0)
-    return F.coalesce(F.size(items), F.lit(0)).cast("int")
+    mark = "\\" + sep
+    item = rf"(?:^|{mark})[ {_BLANK}]*[^ {_BLANK}{mark}]"
+    return F.coalesce(F.regexp_count(as_column(c), F.lit(item)), F.lit(0)).cast("int")
 
 
 def lenient_double(c) -> Column:
-    """Text to double; anything unparsable is null."""
-    return strip(c).try_cast("double")
+    """Decimal text to double; anything else, such as a number with a type letter, is null."""
+    text = strip(c)
+    return F.when(text.rlike(_DECIMAL), text.try_cast("double"))
 
 
 def flag(c) -> Column:

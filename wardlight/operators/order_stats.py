@@ -15,10 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardlight.sources.stage import fitted, stage
 
 
-#: distinct values that one task may hold; beyond it the buckets take over
-SMALL = 200_000
-
-
 def _side(spark) -> int:
     """Buckets are side ** 2, at least one per shuffle partition; with groups, a row finds
     its bucket in 2 * side comparisons."""
@@ -33,7 +29,7 @@ def _bucketed(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
     if not by:
         # One table: the cuts are a fit of fixed size, looked up by binary search.
         found = {c for c in fitted(cuts)["__fine"] or [] if not math.isnan(c)}
-        ends = [-math.inf, *sorted(found - {math.inf, -math.inf}), math.inf]
+        ends = [-math.inf, *(sorted(found - {math.inf, -math.inf}) or [0.0]), math.inf]
         buckets = Bucketizer(splits=ends, inputCol=value, outputCol="__bucket", handleInvalid="keep")
         return buckets.transform(counts).withColumn("__bucket", F.col("__bucket").cast("int"))
     cuts = cuts.withColumn("__coarse", F.filter("__fine", lambda _, i: i % side == side - 1))
@@ -55,24 +51,15 @@ def _bucket_offsets(tagged: DataFrame, sums: list[str], by: list[str], descendin
         f"__start_{s}": F.coalesce(F.sum(f"__size_{s}").over(earlier), F.lit(0)) for s in sums})
 
 
-def _is_small(counts: DataFrame, limit: int) -> bool:
-    """Whether a stored table has at most `limit` rows."""
-    return counts.count() <= limit
-
-
 def running_sums(counts: DataFrame, value: str, sums: list[str], by: tuple[str, ...] = (),
-                 descending: bool = False, small: int = SMALL) -> DataFrame:
+                 descending: bool = False) -> DataFrame:
     """Add `{s}_before`: the sum of `s` over all rows that come earlier in value order.
 
     `counts` is a stored table with one row per (by, value). `by` has few groups (a fixed set of models
-    or aggregations), as each gets its own bucket table. Up to `small` rows are numbered
-    by one window instead.
+    or aggregations), as each gets its own bucket table.
     """
     by = list(by)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if _is_small(counts, small):
-        earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(earlier), F.lit(0)) for s in sums})
     tagged = _bucketed(counts, value, by)
     offsets = _bucket_offsets(tagged, sums, by, descending).select(
         *by, "__bucket", *[f"__start_{s}" for s in sums])
@@ -85,12 +72,12 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: tuple[str,
 
 
 def quantiles(df: DataFrame, value: str, probabilities, by: tuple[str, ...] = (),
-              approximate: bool = False, small: int = SMALL) -> DataFrame:
+              approximate: bool = False) -> DataFrame:
     """Linearly interpolated quantiles as columns `q0, q1, ...` (one row per group).
 
     Exact by default: the distinct values are stored once (they are read for the cuts,
-    the totals and the pick), and only buckets that hold a wanted rank are sorted. Up to
-    `small` distinct values go through Spark's own exact `percentile`.
+    the totals and the pick), and only buckets that hold a wanted rank are sorted. Infinite
+    values are ordered like others; NaN counts as the largest.
     ``approximate=True`` is one sketch pass without interpolation.
     """
     by = list(by)
@@ -102,10 +89,6 @@ def quantiles(df: DataFrame, value: str, probabilities, by: tuple[str, ...] = ()
         return sketch.select(*by, *[F.get("q", i).alias(n) for i, n in enumerate(names)])
     counts = present.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     counts = stage(counts, "value-counts")
-    if _is_small(counts, small):
-        q = F.percentile("__v", F.array(*[F.lit(p) for p in probabilities]), F.col("__n"))
-        row = counts.groupBy(*by).agg(q.alias("q"))
-        return row.select(*by, *[F.get("q", i).alias(n) for i, n in enumerate(names)])
     tagged = _bucketed(counts, "__v", by)
     offsets = _bucket_offsets(tagged, ["__n"], by, False)
     total = F.sum("__size___n").over(Window.partitionBy(*by))
@@ -136,13 +119,13 @@ def quantiles(df: DataFrame, value: str, probabilities, by: tuple[str, ...] = ()
         *[at(F.ceil(position(p))).alias(f"__hi{i}") for i, p in enumerate(probabilities)],
     )
     return picked.select(*by, *[
-        (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
-         * (position(p) - F.floor(position(p)))).alias(n)
+        F.when(F.col(f"__lo{i}") == F.col(f"__hi{i}"), F.col(f"__lo{i}")).otherwise(
+            F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
+            * (position(p) - F.floor(position(p)))).alias(n)
         for i, (p, n) in enumerate(zip(probabilities, names))])
 
 
-def fit_quantiles(df: DataFrame, value: str, probabilities, approximate: bool = False,
-                  small: int = SMALL) -> list[float | None]:
+def fit_quantiles(df: DataFrame, value: str, probabilities, approximate: bool = False) -> list[float | None]:
     """Quantiles of the whole table as numbers (null for an empty table)."""
-    row = fitted(quantiles(df, value, probabilities, approximate=approximate, small=small))
+    row = fitted(quantiles(df, value, probabilities, approximate=approximate))
     return [row[f"q{i}"] for i in range(len(probabilities))]

@@ -53,20 +53,17 @@ def timelines(scored: DataFrame, score: str, n: int = 5, day: str = "email_day")
 def repeatable_sample(df: DataFrame, keys, n: int = 15000, seed: int = 42) -> DataFrame:
     """At most n rows, chosen by a hash of the keys: the same rows on every run.
 
-    The sample is the feature here (a scatter-plot feed): the n smallest hashes. On a
-    large table a hash bound first lets through about 2n + 1000 rows, so the final
-    top-n is small; that fewer than n pass is less likely than 1e-80.
+    The sample is the feature here (a scatter-plot feed): the n smallest hashes. Each task
+    keeps its own n, so about n rows per task are merged; keys may repeat.
     """
     spot = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    place = F.conv(F.substring(spot, 1, 12), 16, 10).cast("double") / F.lit(float(2 ** 48))
-    size = df.agg(F.count(F.lit(1))).scalar()
-    near = df.where(place < F.lit(2.0 * n + 1000) / size)
-    return near.orderBy(spot, *keys).limit(n)
+    return df.orderBy(spot, *keys).limit(n)
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width histogram per class: bin (0-based), edges, count, density, class mean.
 
+    Every bin has a row, empty ones a count of 0.
     Bins span each class's own range and the last is closed. An all-equal class spans
     half a unit to either side.
     """
@@ -86,9 +83,11 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> Da
         tagged = rows.withColumns({c: one[c] for c in stats.columns})
     position = F.floor(min_max(value, F.col("__lo"), F.col("__hi")) * bins).cast("int")
     width = (F.col("__hi") - F.col("__lo")) / bins
-    counted = tagged.withColumn("bin", F.least(position, F.lit(bins - 1))).groupBy(
-        *group, "bin", "__lo", "__hi", "__n", "class_mean").agg(F.count(F.lit(1)).alias("count"))
-    return counted.select(
+    counted = tagged.withColumn("bin", F.least(position, F.lit(bins - 1))).groupBy(*group, "bin").agg(
+        F.count(F.lit(1)).alias("found"))
+    every = stats.where("__n > 0").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    full = every.join(counted, [*group, "bin"], "left").withColumn("count", F.coalesce("found", F.lit(0)))
+    return full.select(
         *group, "bin", (F.col("__lo") + F.col("bin") * width).alias("left_edge"),
         (F.col("__lo") + (F.col("bin") + 1) * width).alias("right_edge"), "count",
         (F.col("count") / (F.col("__n") * width)).alias("density"), "class_mean")

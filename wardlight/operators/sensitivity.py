@@ -28,22 +28,22 @@ def score_email(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES) -> DataFrame:
         F.least(rules.keyword_tier("content", keyword_rules) + boost, F.lit(3)).alias("event_score"))
 
 
-def file_event_score(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES, legacy_prefix: bool = False):
+def file_event_score(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES):
     """Expression of the file event tier (0..3)."""
     ext = rules.extension_tier("filename")
     to_usb = _column(df, "to_removable_media") == 1
     from_usb = _column(df, "from_removable_media") == 1
     written = to_usb & (_column(df, "is_write") == 1)
     floor = F.when(written, 2).when(to_usb | from_usb, 1).otherwise(0)
-    metadata = F.greatest(ext, rules.signature_tier("content", legacy_prefix=legacy_prefix), floor)
+    metadata = F.greatest(ext, rules.signature_tier("content"), floor)
     # 3 is the top: content is read only when the metadata has not settled it.
     return F.when(metadata >= 3, 3).otherwise(
         F.greatest(metadata, rules.keyword_tier("content", keyword_rules))).cast("int")
 
 
-def score_file(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES, legacy_prefix: bool = False) -> DataFrame:
+def score_file(df: DataFrame, keyword_rules=fixed.KEYWORD_RULES) -> DataFrame:
     """Score cleaned file events: (user, email_day, event_score), 0 is PUBLIC."""
-    score = file_event_score(df, keyword_rules, legacy_prefix)
+    score = file_event_score(df, keyword_rules)
     return df.select("user", F.col("day").alias("email_day"), score.alias("event_score"))
 
 

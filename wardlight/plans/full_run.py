@@ -14,27 +14,29 @@ from wardlight.operators import (clean, features, forest, metrics, reports, risk
 from wardlight.sources import readers, sinks
 
 
-def clean_logs(spark: SparkSession, raw: dict[str, str], out: str, attachments: str = "paths") -> None:
+def clean_logs(spark: SparkSession, raw: dict[str, str], out: str, attachments: str = "paths",
+               multiline: tuple[str, ...] = ("email",)) -> None:
     """Clean every given source into `out/cleaned/<source>`.
 
     `raw` maps source names to CSV paths; email and psychometric must exist, the rest
-    may be absent.
+    may be absent. Sources in `multiline` hold quoted newlines and are read file by
+    file; the others are split.
     """
     readers.require_inputs(spark, {s: raw.get(s, f"<{s} not given>") for s in schemas.REQUIRED_SOURCES})
     cleaned = f"{out}/cleaned"
-    email = clean.clean_email(readers.read_csv(spark, raw["email"], tolerant=True), attachments)
+    email = clean.clean_email(readers.read_csv(spark, raw["email"], tolerant=True, multiline="email" in multiline), attachments)
     sinks.write_by_day(email, f"{cleaned}/email", "email_day")
-    people = readers.read_csv(spark, raw["psychometric"])
+    people = readers.read_csv(spark, raw["psychometric"], multiline="psychometric" in multiline)
     sinks.write_table(clean.clean_psychometric(people), f"{cleaned}/psychometric")
     cutoffs = splits.date_cutoffs(spark.read.parquet(f"{cleaned}/email").select("email_day"))
     logs = {"logon": (schemas.LOGON, clean.clean_logon), "device": (schemas.DEVICE, clean.clean_device),
             "file": (schemas.FILE, clean.clean_file)}
     for source, (columns, cleaner) in logs.items():
-        table = cleaner(readers.read_optional_csv(spark, raw.get(source), columns))
+        table = cleaner(readers.read_optional_csv(spark, raw.get(source), columns, multiline=source in multiline))
         sinks.write_by_day(splits.split_by_date(table, cutoffs), f"{cleaned}/{source}")
     dimensions = {"users": (schemas.USERS, clean.clean_users), "decoy_file": (schemas.DECOY, clean.clean_decoy)}
     for source, (columns, cleaner) in dimensions.items():
-        table = readers.read_optional_csv(spark, raw.get(source), columns)
+        table = readers.read_optional_csv(spark, raw.get(source), columns, multiline=source in multiline)
         sinks.write_table(cleaner(table), f"{cleaned}/{source}")
 
 
@@ -46,12 +48,10 @@ def build_user_days(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/user_days")
 
 
-def score_sensitivity(spark: SparkSession, out: str, limit: int | None = None) -> DataFrame:
-    """Daily sensitivity of email and file events; `limit` rows per source for a smoke run."""
+def score_sensitivity(spark: SparkSession, out: str) -> DataFrame:
+    """Daily sensitivity of email and file events."""
     read = lambda source: spark.read.parquet(f"{out}/cleaned/{source}")
     email, file = read("email"), read("file")
-    if limit is not None:
-        email, file = email.limit(limit), file.limit(limit)
     daily = sensitivity.sensitivity_daily(sensitivity.score_email(email), sensitivity.score_file(file))
     sinks.write_table(daily, f"{out}/sensitivity_day")
     return spark.read.parquet(f"{out}/sensitivity_day")
@@ -128,16 +128,12 @@ def search_weights(spark: SparkSession, out: str, insiders: DataFrame, populatio
 
 
 def run_all(spark: SparkSession, raw: dict[str, str], out: str, key_path: str | None = None,
-            quick: bool = False, attachments: str = "paths") -> DataFrame:
-    """The whole run; returns the stored investigation queue.
-
-    ``quick`` is a smoke run: 20 search generations and 50,000 events per source in the
-    sensitivity step.
-    """
-    clean_logs(spark, raw, out, attachments)
+            attachments: str = "paths", multiline: tuple[str, ...] = ("email",)) -> DataFrame:
+    """The whole run; returns the stored investigation queue."""
+    clean_logs(spark, raw, out, attachments, multiline)
     build_user_days(spark, out)
     score_models(spark, out)
-    score_sensitivity(spark, out, 50_000 if quick else None)
+    score_sensitivity(spark, out)
     insiders, weights = None, None
     if key_path is not None:
         key = readers.read_csv(spark, key_path)
@@ -145,7 +141,7 @@ def run_all(spark: SparkSession, raw: dict[str, str], out: str, key_path: str |
         sinks.write_table(truth.labelled_users(key, users), f"{out}/insiders")
         insiders = spark.read.parquet(f"{out}/insiders")
         evaluate(spark, out, key)
-        weights = search_weights(spark, out, insiders, generations=20 if quick else None)
+        weights = search_weights(spark, out, insiders)
     table = rank_users(spark, out, insiders, weights)
     sinks.write_table(table, f"{out}/risk")
     sinks.write_table(risk.investigation_queue(spark.read.parquet(f"{out}/risk")), f"{out}/queue")

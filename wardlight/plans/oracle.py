@@ -424,8 +424,7 @@ WHERE n_chars BETWEEN 100 AND 12000""",
     "keyword_tier_lexicon": f"SELECT doc_id, {keyword('text', LEXICON)} AS tier FROM documents",
     "extension_tier": f"""SELECT *, {extension('filename')} AS tier FROM (SELECT doc_id, filename FROM {{docfiles}}
   UNION ALL SELECT -1 - page_id, url FROM pages)""",
-    "signature_tier": f"""SELECT doc_id, {signature('content')} AS tier,
-  CASE WHEN starts_with(content, '4D-5A') THEN 3 ELSE 0 END AS legacy_tier FROM {{docfiles}}""",
+    "signature_tier": f"""SELECT doc_id, {signature('content')} AS tier FROM {{docfiles}}""",
     "email_sensitivity": """SELECT "user", email_day, event_score, count(*) AS events FROM {msgs} GROUP BY 1, 2, 3""",
     "file_sensitivity": "SELECT doc_id, event_score FROM {filescores}",
     "sensitivity_daily": "SELECT * FROM {sd}",
@@ -500,15 +499,19 @@ WHERE n_chars BETWEEN 100 AND 12000""",
   QUALIFY row_number() OVER (PARTITION BY model, agg ORDER BY f1 DESC, thresh_pct, k) = 1)""",
     "missed_insiders": """SELECT "user" FROM {ins} WHERE "user" NOT IN (
   SELECT "user" FROM {us_window} ORDER BY score_p95 DESC, "user" LIMIT 20)""",
-    "score_histogram": """SELECT is_insider, bin, round(lo + bin * w, 6) AS left_edge, round(lo + (bin + 1) * w, 6) AS right_edge,
-  count(*) AS count, round(count(*) / (n * w), 6) AS density, round(m, 6) AS class_mean FROM (
-  SELECT u.is_insider, lo, n, m, (hi - lo) / 40 AS w, CAST(least(floor((score_p95 - lo) / (hi - lo) * 40), 39) AS INTEGER) AS bin
-  FROM {us_window} u JOIN (SELECT is_insider, min(score_p95) AS lo, max(score_p95) AS hi, count(*) AS n, avg(score_p95) AS m
-    FROM {us_window} GROUP BY 1) s ON u.is_insider = s.is_insider) GROUP BY is_insider, bin, lo, w, n, m""",
-    "row_histogram": """SELECT bin, round(lo + bin * w, 6) AS left_edge, round(lo + (bin + 1) * w, 6) AS right_edge,
-  count(*) AS count, round(count(*) / (n * w), 6) AS density, round(m, 6) AS class_mean FROM (
-  SELECT lo, n, m, (hi - lo) / 50 AS w, CAST(least(floor((score - lo) / (hi - lo) * 50), 49) AS INTEGER) AS bin
-  FROM {ds}, (SELECT min(score) AS lo, max(score) AS hi, count(*) AS n, avg(score) AS m FROM {ds})) GROUP BY bin, lo, w, n, m""",
+    "score_histogram": """SELECT s.is_insider, b.bin, round(lo + b.bin * w, 6) AS left_edge, round(lo + (b.bin + 1) * w, 6) AS right_edge,
+  coalesce(found, 0) AS count, round(coalesce(found, 0) / (n * w), 6) AS density, round(m, 6) AS class_mean FROM (
+  SELECT is_insider, min(score_p95) AS lo, (max(score_p95) - min(score_p95)) / 40 AS w, count(*) AS n, avg(score_p95) AS m
+    FROM {us_window} GROUP BY 1) s CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(40)) b LEFT JOIN (
+  SELECT u.is_insider, CAST(least(floor((score_p95 - lo) / (hi - lo) * 40), 39) AS INTEGER) AS bin, count(*) AS found
+  FROM {us_window} u JOIN (SELECT is_insider, min(score_p95) AS lo, max(score_p95) AS hi FROM {us_window} GROUP BY 1) t
+    ON u.is_insider = t.is_insider GROUP BY 1, 2) c ON c.is_insider = s.is_insider AND c.bin = b.bin""",
+    "row_histogram": """SELECT b.bin, round(lo + b.bin * w, 6) AS left_edge, round(lo + (b.bin + 1) * w, 6) AS right_edge,
+  coalesce(found, 0) AS count, round(coalesce(found, 0) / (n * w), 6) AS density, round(m, 6) AS class_mean FROM (
+  SELECT min(score) AS lo, (max(score) - min(score)) / 50 AS w, count(*) AS n, avg(score) AS m FROM {ds}) s
+  CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b LEFT JOIN (
+  SELECT CAST(least(floor((score - lo) / (hi - lo) * 50), 49) AS INTEGER) AS bin, count(*) AS found
+  FROM {ds}, (SELECT min(score) AS lo, max(score) AS hi FROM {ds}) GROUP BY 1) c ON c.bin = b.bin""",
     "severity_summary": """SELECT count(*) AS rows, count(DISTINCT "user") AS users, count(*) FILTER (severity = 'high') AS high_rows,
   count(*) FILTER (severity = 'suspicious') AS suspicious_rows, count(*) FILTER (severity = 'normal') AS normal_rows,
   count(*) FILTER (severity = 'undetermined') AS undetermined_rows, round(min(score), 6) AS score_min,
@@ -522,7 +525,7 @@ WHERE n_chars BETWEEN 100 AND 12000""",
   SELECT * FROM {ds} ORDER BY score DESC, "user", email_day LIMIT 20)""",
     "timeline": """SELECT "user", email_day, round(score, 6) AS score FROM {ds} WHERE "user" IN (
   SELECT "user" FROM {ds} GROUP BY 1 ORDER BY avg(score) DESC, "user" LIMIT 5)""",
-    "sample": """SELECT * FROM {dv} ORDER BY md5('42|' || "user" || '|' || email_day), "user", email_day LIMIT 1000""",
+    "sample": """SELECT * FROM {dv} ORDER BY md5('42|' || "user" || '|' || email_day), "user", email_day LIMIT 15000""",
     "random_candidates": "SELECT cand, gene, round(value, 6) AS value FROM {cands}",
     "candidate_fitness": """SELECT cand, tp, 50 - tp AS fp, total - tp AS fn, round(tp / 50, 6) AS precision, round(tp / total, 6) AS recall,
   round(f1, 6) AS f1, round(coverage, 6) AS coverage, round(0.8 * f1 + 0.2 * coverage, 6) AS fitness FROM (

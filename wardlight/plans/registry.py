@@ -12,7 +12,7 @@ from wardlight.operators import (clean, features, forest, metrics, order_stats,
                                  search, sensitivity, signals, splits, topk, truth, windows)
 from wardlight.plans import roles
 from wardlight.sources import readers, sinks
-from wardlight.sources.stage import spread, stage
+from wardlight.sources.stage import stage
 from wardlight.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,7 +170,7 @@ def keyword_tier(spark, folder):
 
 @query
 def keyword_tier_lexicon(spark, folder):
-    docs = spread(roles.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = roles.table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", rules.keyword_tier("text", roles.LEXICON).alias("tier"))
 
 
@@ -186,8 +186,7 @@ def extension_tier(spark, folder):
 @query
 def signature_tier(spark, folder):
     return roles.file_events(spark, folder).select(
-        "doc_id", rules.signature_tier("content").alias("tier"),
-        rules.signature_tier("content", legacy_prefix=True).alias("legacy_tier"))
+        "doc_id", rules.signature_tier("content").alias("tier"))
 
 
 @query
@@ -439,7 +438,7 @@ def timeline(spark, folder):
 
 @query
 def sample(spark, folder):
-    return rounded(reports.repeatable_sample(roles.day_values(spark, folder), ["user", "email_day"], 1000))
+    return rounded(reports.repeatable_sample(roles.day_values(spark, folder), ["user", "email_day"]))
 
 
 # --- search --------------------------------------------------------------------------------------

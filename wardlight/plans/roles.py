@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardlight import fixed
 from wardlight.functions.time import after_hours
 from wardlight.operators import features, forest, risk, sensitivity, signals, splits, windows
-from wardlight.sources.stage import spread, stage
+from wardlight.sources.stage import stage
 
 ACTIVITY = {"signup": "Logon", "error": "Logoff", "click": "Connect", "view": "Disconnect",
             "purchase": "File Write"}
@@ -81,7 +81,7 @@ def raw_activity(events: DataFrame) -> DataFrame:
 def raw_emails(spark, folder) -> DataFrame:
     """`documents` as an uncleaned text email log; lists come from the whole text."""
     doc, text = F.col("doc_id"), F.col("text")
-    return spread(table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text").select(
         doc.cast("string").alias("id"),
         F.concat(F.lit("1/"), (doc % 30 + 1).cast("string"), F.lit("/2024 "), (doc % 24).cast("string"),
                  F.lit(":05:09")).alias("date"),
@@ -138,7 +138,7 @@ def spaced_words(c) -> F.Column:
 def message_events(spark, folder) -> DataFrame:
     """`documents` as cleaned email events with whole-text content."""
     doc = F.col("doc_id")
-    return spread(table(spark, folder, "documents").select("doc_id", "source", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "source", "text").select(
         F.col("source").alias("user"),
         F.date_add(F.lit("2024-01-01").cast("date"), (doc % 30).cast("int")).alias("email_day"),
         doc, F.col("text").alias("content"), (doc % 2).cast("int").alias("has_attachment"),
@@ -148,7 +148,7 @@ def message_events(spark, folder) -> DataFrame:
 def file_events(spark, folder) -> DataFrame:
     """`documents` as cleaned file events: derived names, signatures, media flags."""
     doc = F.col("doc_id")
-    return spread(table(spark, folder, "documents").select("doc_id", "source", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "source", "text").select(
         F.col("source").alias("user"),
         F.date_add(F.lit("2024-01-01").cast("date"), (doc % 30).cast("int")).alias("day"), doc,
         F.concat(F.lit("doc_"), doc.cast("string"), pick(SUFFIXES, doc)).alias("filename"),
@@ -159,7 +159,7 @@ def file_events(spark, folder) -> DataFrame:
 
 def planted_text(spark, folder) -> DataFrame:
     """`documents` with one planted phrase each (whole text kept)."""
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "text").select(
         "doc_id", F.concat(F.col("text"), F.lit(" "), pick(PLANTED, F.col("doc_id"))).alias("content"))
 
 

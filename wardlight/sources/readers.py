@@ -48,17 +48,17 @@ def _field_count(record: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, tolerant: bool = False,
-             multiline: bool = True, limit: int | None = None) -> DataFrame:
+             multiline: bool = False) -> DataFrame:
     """Scan a CSV with a header; every column is text, names are normalised.
 
     ``tolerant`` drops rows with too many fields; short rows stay, padded with nulls.
-    ``multiline=False`` makes big files splittable where no field holds a newline.
+    ``multiline=True`` reads quoted newlines, but then each file is one task: such a source
+    should come as many files.
     """
     options = {"header": True, "escape": '"', "quote": '"', "multiLine": multiline}
     names = [c.strip().lower() for c in spark.read.options(**options).csv(path).columns]
     if not tolerant:
-        table = spark.read.options(**options).schema(strings(names)).csv(path)
-        return table.limit(limit) if limit is not None else table
+        return spark.read.options(**options).schema(strings(names)).csv(path)
     raw = (
         spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD,
                            columnPruning=False)
@@ -67,8 +67,7 @@ def read_csv(spark: SparkSession, path: str, tolerant: bool = False,
     bad = F.col(_BAD)
     # Always true: it makes a data column part of the scan, which count() needs.
     touched = F.coalesce(F.length(names[0]), F.lit(0)) > -1
-    kept = raw.where((bad.isNull() | (_field_count(bad) <= len(names))) & touched).drop(_BAD)
-    return kept.limit(limit) if limit is not None else kept
+    return raw.where((bad.isNull() | (_field_count(bad) <= len(names))) & touched).drop(_BAD)
 
 
 def read_optional_csv(spark: SparkSession, path: str | None, columns, **options) -> DataFrame:

@@ -9,27 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a temporary one only if unset."""
+    """The folder named by `spark.checkpoint.dir` (or set on the context).
+
+    Without one, a single-machine session gets a temporary folder; a cluster session is an
+    error, as its executors would not see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wardlight-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use every core for a CPU-bound step over a scan with few splits.
-
-    `scan` is a plain scan (no shuffle below it). Large inputs have more splits than
-    cores and pass through untouched.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def fitted(df: DataFrame) -> dict:
     """The single row of a fit (ranges, cutoffs) as plain values.
 
