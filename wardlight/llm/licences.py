@@ -7,7 +7,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardlight.llm.common import let, lower_ascii, present, words
+from wardlight.llm.common import let, lower_ascii, present, stage, words
 
 #: Licence notices as they are commonly written, by family.
 TEMPLATES = (
@@ -65,7 +65,13 @@ def ngrams(ws: Column) -> Column:
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, at, w): the words of every line that has some."""
     lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(present(F.col(text)), "\n")).alias("at", "line"))
-    return lines.select("id", "at", tokens(F.col("line")).alias("w")).where(F.size("w") > 0)
+    return lines.select("id", "at", _where(tokens(F.col("line")), lambda w: F.size(w) > 0).alias("w"))
+
+
+def _where(value: Column, keep) -> Column:
+    """Rows whose `value` passes. A plain filter would be pushed below the projections that make
+    the value and evaluate them once per use; a generated column is evaluated once."""
+    return F.explode(F.filter(F.array(value), keep))
 
 
 def _values(spark: SparkSession, rows, *names: str) -> DataFrame:
@@ -100,7 +106,7 @@ class Classifier:
 
     @staticmethod
     def fit(table: DataFrame) -> Classifier:
-        table = table.persist()
+        table = stage(table, "licence-training")
         labels = sorted(r["label"] for r in table.select("label").distinct().collect())
         y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).cast("double") - 1
         vectors = CountVectorizer(inputCol="g", outputCol="v", vocabSize=FEATURES, binary=True).fit(table.where("not test"))
@@ -111,15 +117,15 @@ class Classifier:
         # The cut: the smallest family probability that at most ALARMS of the held-out unknown ones reach.
         judged = fitted.predict(table.where(F.col("test") & (F.col("label") == UNKNOWN)))
         high = judged.agg(F.percentile("p", F.lit(1 - ALARMS))).first()[0]
-        table.unpersist()
         return Classifier(vectors, model, labels, max(0.5, high or 0.0))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Add `family` (the likeliest one that is not unknown) and its probability `p`."""
-        scored = self.model.transform(self.vectors.transform(rows)).withColumn("__p", vector_to_array("probability"))
+        """Rows whose likeliest family that is not unknown reaches the cut, with `family` and its probability `p`."""
+        scored = self.model.transform(self.vectors.transform(rows))
         known = [(i, x) for i, x in enumerate(self.labels) if x != UNKNOWN]
-        best = F.array_max(F.array(*[F.struct(F.get("__p", F.lit(i)).alias("p"), F.lit(x).alias("family")) for i, x in known]))
-        return scored.withColumn("__best", best).select(
+        best = let(vector_to_array("probability"), lambda p: F.array_max(F.array(*[
+            F.struct(F.get(p, F.lit(i)).alias("p"), F.lit(x).alias("family")) for i, x in known])))
+        return scored.select(*rows.columns, _where(best, lambda b: b["p"] >= self.cut).alias("__best")).select(
             *rows.columns, F.col("__best.p").alias("p"), F.col("__best.family").alias("family"))
 
 
@@ -141,7 +147,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     model = Classifier.fit(training_table(docs, key, text))
     rows = paragraphs(docs, key, text).select("id", "at", ngrams(F.col("w")).alias("g"))
-    judged = model.predict(rows).where(F.col("p") >= model.cut)
+    judged = model.predict(rows)
     return judged.withColumn("match", let(F.col("g"), lambda g: confirmation(g, F.col("family")))).where(
         F.col("match") >= MATCH).select(F.col("id").alias(key), F.col("at").alias("line_no"), "family", "p", "match")
 
