@@ -7,7 +7,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardlight.llm.common import let, lower_ascii, present, stage, words
+from wardlight.llm.common import BLANK_CHARS, let, present, stage, words
 
 #: Licence notices as they are commonly written, by family.
 TEMPLATES = (
@@ -45,15 +45,16 @@ UNKNOWN = "unknown"
 
 #: Production parameters.
 COPIES = 40            # altered copies of each template in the training table
-NEGATIVES = 2000       # corpus paragraphs that are learned as unknown (smallest hashes)
-FEATURES = 20_000      # word n-grams kept
+NEGATIVES = 2000       # corpus paragraphs drawn to be learned as unknown (smallest hashes of id and line)
+FEATURES = 20_000      # word n-grams kept at most
+MIN_ROWS = 2           # training rows that an n-gram is in
 ALARMS = 0.001         # share of held-out unknown paragraphs that may pass the cut
 MATCH = 0.6            # share of a template's word pairs that must be in the paragraph
 
 
 def tokens(text: Column) -> Column:
-    """Words of a-z, 0-9 and other letters, A-Z in lower case."""
-    return words(lower_ascii(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    """Words of a-z, 0-9 and other letters, in lower case."""
+    return words(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def ngrams(ws: Column) -> Column:
@@ -63,9 +64,9 @@ def ngrams(ws: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, at, w): the words of every line that has some."""
+    """(id, at, line): every line that has more than blanks."""
     lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(present(F.col(text)), "\n")).alias("at", "line"))
-    return lines.select("id", "at", _where(tokens(F.col("line")), lambda w: F.size(w) > 0).alias("w"))
+    return lines.where(F.btrim("line", F.lit(BLANK_CHARS)) != "")
 
 
 def _where(value: Column, keep) -> Column:
@@ -80,15 +81,16 @@ def _values(spark: SparkSession, rows, *names: str) -> DataFrame:
 
 
 def training_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(label, g, fold): altered templates, look-alikes and a bounded sample of corpus paragraphs.
+    """(label, g, test): altered templates, look-alikes and a bounded sample of corpus paragraphs.
 
-    A copy drops one word in eight, by a hash, and stands between words of the sample. Corpus
-    paragraphs with a template's rarer words do not enter the sample of unknown ones.
+    A copy drops one word in eight, by a hash. Drawn paragraphs with a template's rarer words
+    are not learned as unknown. The draw goes by place, so a line that repeats fills no more
+    of it than its share.
     """
     spark = docs.sparkSession
     cue = r"licen[cs]|copyright|gnu|apache|mozilla|creative commons|bsd|redistribut|cc (by|0)"
-    some = paragraphs(docs, key, text).where(~F.array_join("w", " ").rlike(cue)).select("w")
-    some = some.orderBy(F.xxhash64("w"), "w").limit(NEGATIVES)
+    some = paragraphs(docs, key, text).orderBy(F.xxhash64("id", "at"), "line").limit(NEGATIVES)
+    some = some.select(tokens(F.col("line")).alias("w")).where((F.size("w") > 0) & ~F.array_join("w", " ").rlike(cue))
     made = _values(spark, TEMPLATES, "label", "t").crossJoin(spark.range(COPIES)).select(  # a fixed few hundred rows
         "label", F.col("id").alias("fold"), F.filter(F.split("t", " "), lambda w, i: (F.col("id") % 4 == 0) | (
             F.pmod(F.xxhash64(w, i, F.col("id")), F.lit(8)) != 0)).alias("w"))
@@ -103,13 +105,16 @@ class Classifier:
 
     def __init__(self, vectors: CountVectorizerModel, model: LogisticRegressionModel, labels: list[str], cut: float):
         self.vectors, self.model, self.labels, self.cut = vectors, model, labels, cut
+        weights = model.coefficientMatrix.toArray()
+        #: N-grams with a weight in some class; the penalty leaves few, and no other can change a prediction.
+        self.active = [g for g, used in zip(vectors.vocabulary, (weights != 0).any(axis=0)) if used]
 
     @staticmethod
     def fit(table: DataFrame) -> Classifier:
         table = stage(table, "licence-training")
         labels = sorted(r["label"] for r in table.select("label").distinct().collect())
         y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).cast("double") - 1
-        vectors = CountVectorizer(inputCol="g", outputCol="v", vocabSize=FEATURES, binary=True).fit(table.where("not test"))
+        vectors = CountVectorizer(inputCol="g", outputCol="v", vocabSize=FEATURES, minDF=MIN_ROWS, binary=True).fit(table.where("not test"))
         ready = vectors.transform(table).withColumn("y", y)
         model = LogisticRegression(featuresCol="v", labelCol="y", regParam=0.002, elasticNetParam=0.5, maxIter=60,
                                    family="multinomial").fit(ready.where("not test"))
@@ -121,10 +126,11 @@ class Classifier:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Rows whose likeliest family that is not unknown reaches the cut, with `family` and its probability `p`."""
-        scored = self.model.transform(self.vectors.transform(rows))
-        known = [(i, x) for i, x in enumerate(self.labels) if x != UNKNOWN]
+        known = rows.withColumn("g", F.filter("g", lambda x: x.isin(self.active)))
+        scored = self.model.transform(self.vectors.transform(known))
+        families = [(i, x) for i, x in enumerate(self.labels) if x != UNKNOWN]
         best = let(vector_to_array("probability"), lambda p: F.array_max(F.array(*[
-            F.struct(F.get(p, F.lit(i)).alias("p"), F.lit(x).alias("family")) for i, x in known])))
+            F.struct(F.get(p, F.lit(i)).alias("p"), F.lit(x).alias("family")) for i, x in families])))
         return scored.select(*rows.columns, _where(best, lambda b: b["p"] >= self.cut).alias("__best")).select(
             *rows.columns, F.col("__best.p").alias("p"), F.col("__best.family").alias("family"))
 
@@ -146,8 +152,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     cut and a template of the family confirms it.
     """
     model = Classifier.fit(training_table(docs, key, text))
-    rows = paragraphs(docs, key, text).select("id", "at", ngrams(F.col("w")).alias("g"))
-    judged = model.predict(rows)
+    rows = paragraphs(docs, key, text).select("id", "at", "line", let(tokens(F.col("line")), ngrams).alias("g"))
+    judged = model.predict(rows).withColumn("g", let(tokens(F.col("line")), ngrams))
     return judged.withColumn("match", let(F.col("g"), lambda g: confirmation(g, F.col("family")))).where(
         F.col("match") >= MATCH).select(F.col("id").alias(key), F.col("at").alias("line_no"), "family", "p", "match")
 
