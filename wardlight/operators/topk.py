@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wardlight import fixed
 from wardlight.operators.metrics import f1
 from wardlight.operators.order_stats import fit_quantiles, quantiles
+from wardlight.operators.risk import ranked
 
 AGGREGATIONS = ("score_max", "score_mean", "score_p95")
 
@@ -66,6 +67,21 @@ def best_overall(grid: DataFrame, model: str = "model") -> DataFrame:
     return grid.orderBy(F.desc("f1"), F.asc(model), F.asc("agg"), F.asc("thresh_pct"), F.asc("k")).limit(1)
 
 
+def outcome_counts(users: DataFrame, score: str, ks=fixed.OUTCOME_KS) -> DataFrame:
+    """(k, outcome, users): true and false positives and missed insiders of the top k users.
+
+    The rank is numbered on the top max(ks) rows only; K above the number of users takes all.
+    """
+    top = ranked(users.select("user", "is_insider", score), max(ks), score, "__rank")
+    labelled = users.agg(F.coalesce(F.sum("is_insider"), F.lit(0))).scalar()
+    per_k = top.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    found = top.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("__rank"))))
+    tally = found.groupBy("k").agg(F.sum("is_insider").alias("tp"), F.count(F.lit(1)).alias("n"))
+    full = per_k.join(tally, "k", "left").na.fill(0, subset=["tp", "n"])
+    full = full.select("k", F.col("tp"), (F.col("n") - F.col("tp")).alias("fp"), (labelled - F.col("tp")).alias("fn"))
+    return full.unpivot(["k"], ["tp", "fp", "fn"], "outcome", "users")
+
+
 def missed_insiders(top: DataFrame, insiders: DataFrame) -> DataFrame:
     """Labelled users that are not in a ranked list."""
     return insiders.select("user").distinct().join(top.select("user"), "user", "left_anti")

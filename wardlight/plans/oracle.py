@@ -322,9 +322,9 @@ FROM (SELECT unnest(range({size})) AS cand), (SELECT unnest(range(14)) AS gene)"
 
 
 PARTS["cands"] = candidates("(SELECT count(*) FROM supplier)")
-PARTS["cands16"] = candidates("16")
+PARTS["first_cands"] = candidates(str(fixed.SEARCH["population"]))
 PARTS["cw"] = "SELECT cand, " + ", ".join(
-    f"max(value) FILTER (gene = {i}) AS g{i}" for i in range(14)) + " FROM {cands16} GROUP BY cand"
+    f"max(value) FILTER (gene = {i}) AS g{i}" for i in range(14)) + " FROM {first_cands} GROUP BY cand"
 PARTS["cs"] = "SELECT cand, \"user\", is_insider, (" + " + ".join(
     f"{n} * (g{i} / ({' + '.join(f'g{j}' for j in range(7))}))" for i, n in enumerate(_NORMS)) + ") AS score, " + (
     "CASE WHEN " + " OR ".join(f"{n} >= g{i + 7}" for i, n in enumerate(_NORMS)) + " THEN 1 ELSE 0 END AS flagged FROM {norm}, {cw}")
@@ -492,6 +492,11 @@ WHERE n_chars BETWEEN 100 AND 12000""",
   WHERE score_p95 >= cutoff""",
     "eval_grid": f"SELECT {_GRID_COLUMNS} FROM {{grid}}",
     "k_sweep": f"SELECT {_GRID_COLUMNS} FROM ({grid(('score_p95',), (90,), fixed.SWEEP_KS)})",
+    "outcome_counts": """SELECT k, outcome, count(*) FILTER ((outcome = 'tp' AND place <= k AND is_insider = 1)
+    OR (outcome = 'fp' AND place <= k AND is_insider = 0) OR (outcome = 'fn' AND place > k AND is_insider = 1)) AS users
+  FROM (SELECT is_insider, row_number() OVER (ORDER BY risk_score DESC, "user") AS place FROM {risk})
+  CROSS JOIN (VALUES ('tp'), ('fp'), ('fn')) o(outcome) CROSS JOIN (VALUES """ + ", ".join(
+        f"({k})" for k in fixed.OUTCOME_KS) + ") v(k) GROUP BY 1, 2",
     "model_comparison": "SELECT model, agg, k, " + r6("precision", "recall", "f1") + f""" FROM (
   {grid(('score_max', 'score_p95'), (90,), (20, 50))}) WHERE (model = 'day' AND agg = 'score_max') OR (model = 'window' AND agg = 'score_p95')""",
     "best_config": f"SELECT {_GRID_COLUMNS} FROM (SELECT * FROM {{grid}} ORDER BY f1 DESC, model, agg, thresh_pct, k LIMIT 1)",

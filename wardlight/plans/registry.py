@@ -362,6 +362,12 @@ def k_sweep(spark, folder):
         percentiles=(90,), ks=fixed.SWEEP_KS))
 
 
+@query
+def outcome_counts(spark, folder):
+    users = stage(roles.risk_table(spark, folder).select("user", "is_insider", "risk_score"), "outcome-users")
+    return topk.outcome_counts(users, "risk_score", fixed.OUTCOME_KS)
+
+
 @query
 def model_comparison(spark, folder):
     grid = topk.evaluation_grid(roles.model_users(spark, folder), roles.insiders(spark, folder),
@@ -457,7 +463,7 @@ def random_candidates(spark, folder):
 
 @query
 def candidate_fitness(spark, folder):
-    chosen = [(r["cand"], r["genes"]) for r in search.random_candidates(spark, 16).collect()]
+    chosen = [(r["cand"], r["genes"]) for r in search.random_candidates(spark, fixed.SEARCH["population"]).collect()]
     return rounded(search.fitness(search_users(spark, folder), chosen, 50))
 
 
@@ -494,7 +500,7 @@ def iforest_embeddings(spark, folder):
     names = [f"v{i}" for i in range(64)]
     wide = stage(vectors.select("vec_id", *[F.get("embedding", i).cast("double").alias(n) for i, n in enumerate(names)]),
                  "vectors")
-    nodes = stage(forest.fit_forest(wide, ["vec_id"], names, trees=100), "nodes")
+    nodes = stage(forest.fit_forest(wide, ["vec_id"], names), "nodes")
     return forest.score_forest(wide, nodes, names, 256, "score").select("vec_id", "score")
 
 
@@ -519,19 +525,19 @@ def activity_stream(spark, folder) -> DataFrame:
 @query
 def stream_clean(spark, folder):
     raw = roles.raw_activity(logs.read_parquet_stream(spark, folder, "events.parquet"))
-    table = logs.run_to_table(logs.clean_stream(raw, clean.clean_logon), "clean", "append")
+    table = logs.run_to_table(logs.clean_stream(raw, clean.clean_logon), "clean")
     return table.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
 @query
 def stream_dedupe(spark, folder):
-    table = logs.run_to_table(logs.dedupe_stream(activity_stream(spark, folder)), "dedupe", "append")
+    table = logs.run_to_table(logs.dedupe_stream(activity_stream(spark, folder)), "dedupe")
     return table.select("id", "user", "activity", "is_after_hours")
 
 
 @query
 def stream_user_day(spark, folder):
-    table = logs.run_to_table(logs.user_day_counts(activity_stream(spark, folder)), "user-days")
+    table = logs.run_to_table(logs.user_day_counts(activity_stream(spark, folder)), "user-days", ("user", "email_day"))
     return table.drop("approx_pcs")
 
 
@@ -543,4 +549,6 @@ def stream_sensitivity(spark, folder):
         F.col("source").alias("user"), day.alias("email_day"), F.col("text").alias("content"),
         (F.col("doc_id") % 2).cast("int").alias("has_attachment"),
         roles.spaced_words("text").alias("content_length_words"))
-    return logs.run_to_table(logs.sensitivity_totals(sensitivity.score_email(events, roles.LEXICON)), "sensitivity")
+    # The days repeat every 30 rows, so all of them stay open.
+    totals = logs.sensitivity_totals(sensitivity.score_email(events, roles.LEXICON), "30 days")
+    return logs.run_to_table(totals, "sensitivity", ("user", "email_day"))

@@ -6,6 +6,8 @@ zone at UTC so days agree with the batch operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,35 +46,54 @@ def user_day_counts(events: DataFrame, date: str = "date", delay: str = "1 day")
     ).select("user", F.to_date("w.start").alias("email_day"), *sums, "approx_pcs")
 
 
-def sensitivity_totals(scored: DataFrame) -> DataFrame:
-    """Sums, maximum and tier counts per (user, day) of a stream of scored events."""
+def sensitivity_totals(scored: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Sums, maximum and tier counts per (user, day) of a stream of scored events.
+
+    A day's totals leave the state once the watermark has passed its end; events that
+    come later than `delay` are not counted.
+    """
     tier = F.col("event_score")
-    return scored.groupBy("user", "email_day").agg(
+    timed = scored.withColumn("__at", F.col("email_day").cast("timestamp")).withWatermark("__at", delay)
+    return timed.groupBy("user", "email_day", F.window("__at", "1 day").alias("w")).agg(
         F.sum(tier).alias("sum_score"), F.max(tier).alias("max_score"),
         F.count_if(tier >= 2).alias("sensitive_count"), F.count_if(tier == 3).alias("restricted_count"),
-        F.count_if(tier > 0).alias("total_events")).where("max_score > 0")
+        F.count_if(tier > 0).alias("total_events")).where("max_score > 0").drop("w")
 
 
-def start_table(df: DataFrame, path: str, name: str, mode: str = "complete") -> StreamingQuery:
+def start_table(df: DataFrame, path: str, name: str, mode: str = "append") -> StreamingQuery:
     """Run over what is available now into a Parquet table, with its checkpoint beside
     the other state of the cluster.
 
-    `complete` results replace the table at every batch (`foreachBatch`), `append`
-    results go through the exactly-once file sink.
+    `append` results go through the exactly-once file sink. Of `update` results every batch
+    writes the changed keys only, to a folder of its own that a repeated batch replaces;
+    `newest` reads them.
     """
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option(
         "checkpointLocation", f"{path}/_state")
     if mode == "append":
         return writer.format("parquet").option("path", f"{path}/{name}").start()
     return writer.foreachBatch(
-        lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/{name}")).start()
+        lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")).start()
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain a stream into a new table under the shared root and read it back."""
-    import uuid
+def newest(spark: SparkSession, path: str, schema, keys: tuple[str, ...]) -> DataFrame:
+    """The last state of every key of an `update` table."""
+    rows = spark.read.schema(f"{schema.toDDL()}, batch long").parquet(path)
+    values = F.struct(*[c for c in schema.names if c not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("last")).select(*keys, "last.*").select(*schema.names)
 
+
+def run_to_table(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Drain a stream into a new table under the shared root and read it back.
+
+    With `keys` the stream updates one row per key, without it appends rows.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    start_table(df, path, name, mode).awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    if not keys:
+        start_table(df, path, name).awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    # An empty first batch, so that a stream without rows still leaves a table.
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/{name}/batch=-1")
+    start_table(df, path, name, "update").awaitTermination()
+    return newest(spark, f"{path}/{name}", df.schema, keys)
