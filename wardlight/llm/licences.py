@@ -91,10 +91,11 @@ def training_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     cue = r"licen[cs]|copyright|gnu|apache|mozilla|creative commons|bsd|redistribut|cc (by|0)"
     some = paragraphs(docs, key, text).orderBy(F.xxhash64("id", "at"), "line").limit(NEGATIVES)
     some = some.select(tokens(F.col("line")).alias("w")).where((F.size("w") > 0) & ~F.array_join("w", " ").rlike(cue))
-    made = _values(spark, TEMPLATES, "label", "t").crossJoin(spark.range(COPIES)).select(  # a fixed few hundred rows
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("id")
+    made = _values(spark, TEMPLATES, "label", "t").select("label", "t", copies(COPIES)).select(
         "label", F.col("id").alias("fold"), F.filter(F.split("t", " "), lambda w, i: (F.col("id") % 4 == 0) | (
             F.pmod(F.xxhash64(w, i, F.col("id")), F.lit(8)) != 0)).alias("w"))
-    fake = _values(spark, [(x,) for x in OTHERS], "t").crossJoin(spark.range(COPIES // 4)).select(
+    fake = _values(spark, [(x,) for x in OTHERS], "t").select("t", copies(COPIES // 4)).select(
         F.lit(UNKNOWN).alias("label"), F.col("id").alias("fold"), F.split("t", " ").alias("w"))
     rest = some.select(F.lit(UNKNOWN).alias("label"), F.pmod(F.xxhash64("w", F.lit("fold")), F.lit(1 << 20)).alias("fold"), "w")
     return made.union(fake).union(rest).select("label", ngrams(F.col("w")).alias("g"), (F.col("fold") % 5 == 0).alias("test"))
