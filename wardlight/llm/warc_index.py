@@ -228,7 +228,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         names = [c.split()[0] for c in RECORD.split(", ")]
         return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return index.select("run").distinct().mapInPandas(read, RECORD)
+    # A list of names is tiny, so adaptive execution would read all archives in one task.
+    names = index.select("run").distinct()
+    return names.repartition(max(1, names.count()), "run").mapInPandas(read, RECORD)
 
 
 def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame, str]:
