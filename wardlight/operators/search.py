@@ -119,18 +119,21 @@ def next_generation(scored: DataFrame, generation: int, population: int, seed: i
     """(cand, genes) of the next generation from (cand, genes, fitness).
 
     The best `elites` are copied. Every other slot draws two parents by tournament
-    (with replacement), mixes them gene by gene and mutates some genes.
+    (with replacement), mixes them gene by gene and mutates some genes. Candidates are
+    numbered from 0 to `population` - 1, as this function and `random_candidates` number
+    them, so draws name them directly and only the elites are ranked.
     """
     gen = F.lit(generation)
-    place = F.row_number().over(Window.orderBy(F.desc("fitness"), F.asc("cand"))) - 1
-    ordered = scored.select(place.alias("pos"), "genes", "fitness")
-    kept = ordered.where(F.col("pos") < elites).select(F.col("pos").alias("cand"), "genes")
+    leading = scored.orderBy(F.desc("fitness"), F.asc("cand")).limit(elites)
+    place = F.row_number().over(Window.orderBy(F.desc("fitness"), F.asc("cand"))) - 1  # over `elites` rows
+    kept = leading.select(place.alias("cand"), "genes")
     slots = scored.sparkSession.range(elites, population).select(F.col("id").cast("int").alias("cand"))
     draws = slots.select(
         "cand", F.explode(F.sequence(F.lit(0), F.lit(2 * _P["tournament"] - 1))).alias("draw")).select(
         "cand", "draw", (F.col("draw") % 2).alias("parent"),
-        F.floor(uniform(seed, "draw", gen, F.col("cand"), F.col("draw")) * population).cast("int").alias("pos"))
-    won = draws.join(ordered, "pos").groupBy("cand").agg(*[
+        F.floor(uniform(seed, "draw", gen, F.col("cand"), F.col("draw")) * population).cast("int").alias("drawn"))
+    pool = scored.select(F.col("cand").alias("drawn"), "genes", "fitness")
+    won = draws.join(pool, "drawn").groupBy("cand").agg(*[
         F.max_by("genes", F.when(F.col("parent") == p, F.struct("fitness", -F.col("draw")))).alias(f"p{p}")
         for p in (0, 1)])
 

@@ -321,7 +321,6 @@ SELECT CAST(cand AS INTEGER) AS cand, CAST(gene AS INTEGER) AS gene, CAST(CASE W
 FROM (SELECT unnest(range({size})) AS cand), (SELECT unnest(range(14)) AS gene)"""
 
 
-PARTS["cands"] = candidates("(SELECT count(*) FROM supplier)")
 PARTS["first_cands"] = candidates(str(fixed.SEARCH["population"]))
 PARTS["cw"] = "SELECT cand, " + ", ".join(
     f"max(value) FILTER (gene = {i}) AS g{i}" for i in range(14)) + " FROM {first_cands} GROUP BY cand"
@@ -329,14 +328,21 @@ PARTS["cs"] = "SELECT cand, \"user\", is_insider, (" + " + ".join(
     f"{n} * (g{i} / ({' + '.join(f'g{j}' for j in range(7))}))" for i, n in enumerate(_NORMS)) + ") AS score, " + (
     "CASE WHEN " + " OR ".join(f"{n} >= g{i + 7}" for i, n in enumerate(_NORMS)) + " THEN 1 ELSE 0 END AS flagged FROM {norm}, {cw}")
 
+PARTS["leaders"] = """
+SELECT cand, row_number() OVER (PARTITION BY cand ORDER BY score DESC, "user") AS rank, "user", score, is_insider, flagged
+FROM {cs} QUALIFY rank <= 50"""
+PARTS["fit"] = """
+SELECT cand, tp, total, f1, coverage, 0.8 * f1 + 0.2 * coverage AS fitness FROM (
+  SELECT *, CASE WHEN tp > 0 THEN 2 * (tp / 50) * (tp / total) / (tp / 50 + tp / total) ELSE 0 END AS f1 FROM (
+    SELECT cand, CAST(sum(is_insider) AS BIGINT) AS tp, avg(flagged) AS coverage, (SELECT CAST(sum(is_insider) AS BIGINT) FROM {norm}) AS total
+    FROM {leaders} GROUP BY cand))"""
 PARTS["ordered"] = """
-SELECT cand, row_number() OVER (ORDER BY fitness DESC, cand) - 1 AS pos, fitness FROM (
-  SELECT s_suppkey AS cand, s_acctbal AS fitness FROM supplier)"""
+SELECT cand, row_number() OVER (ORDER BY round(fitness, 6) DESC, cand) - 1 AS pos, round(fitness, 6) AS fitness FROM {fit}"""
 PARTS["won"] = f"""
-SELECT child, parent, arg_max(o.cand, o.fitness * 1000000 - draw) AS cand FROM (
-  SELECT child, draw, draw % 2 AS parent, CAST(floor({uniform('draw', "'1'", 'child', 'draw')} * (SELECT count(*) FROM supplier)) AS BIGINT) AS pos
-  FROM (SELECT unnest(range(4, (SELECT count(*) FROM supplier))) AS child), (SELECT unnest(range(10)) AS draw)) d
-JOIN {{ordered}} o ON d.pos = o.pos GROUP BY 1, 2"""
+SELECT child, parent, arg_max(o.cand, round(o.fitness * 1000000) * 100 - draw) AS cand FROM (
+  SELECT child, draw, draw % 2 AS parent, CAST(floor({uniform('draw', "'1'", 'child', 'draw')} * {fixed.SEARCH['population']}) AS BIGINT) AS drawn
+  FROM (SELECT unnest(range(4, {fixed.SEARCH['population']})) AS child), (SELECT unnest(range(10)) AS draw)) d
+JOIN {{ordered}} o ON d.drawn = o.cand GROUP BY 1, 2"""
 
 
 _NAME = re.compile(r"\{([a-z0-9_]+)\}")
@@ -531,20 +537,17 @@ WHERE n_chars BETWEEN 100 AND 12000""",
     "timeline": """SELECT "user", email_day, round(score, 6) AS score FROM {ds} WHERE "user" IN (
   SELECT "user" FROM {ds} GROUP BY 1 ORDER BY avg(score) DESC, "user" LIMIT 5)""",
     "sample": """SELECT * FROM {dv} ORDER BY md5('42|' || "user" || '|' || email_day), "user", email_day LIMIT 15000""",
-    "random_candidates": "SELECT cand, gene, round(value, 6) AS value FROM {cands}",
+    "random_candidates": 'SELECT cand, CAST(rank AS INTEGER) AS rank, "user", round(score, 6) AS score, flagged FROM {leaders}',
     "candidate_fitness": """SELECT cand, tp, 50 - tp AS fp, total - tp AS fn, round(tp / 50, 6) AS precision, round(tp / total, 6) AS recall,
-  round(f1, 6) AS f1, round(coverage, 6) AS coverage, round(0.8 * f1 + 0.2 * coverage, 6) AS fitness FROM (
-  SELECT *, CASE WHEN tp > 0 THEN 2 * (tp / 50) * (tp / total) / (tp / 50 + tp / total) ELSE 0 END AS f1 FROM (
-    SELECT cand, CAST(sum(is_insider) AS BIGINT) AS tp, avg(flagged) AS coverage, (SELECT CAST(sum(is_insider) AS BIGINT) FROM {norm}) AS total
-    FROM (SELECT * FROM {cs} QUALIFY row_number() OVER (PARTITION BY cand ORDER BY score DESC, "user") <= 50) GROUP BY cand))""",
+  round(f1, 6) AS f1, round(coverage, 6) AS coverage, round(fitness, 6) AS fitness FROM {fit}""",
     "bred_generation": f"""SELECT CAST(pos AS INTEGER) AS cand, gene, round(value, 6) AS value FROM {{ordered}} o
-  JOIN {{cands}} c ON o.cand = c.cand WHERE pos < 4
+  JOIN {{first_cands}} c ON o.cand = c.cand WHERE pos < 4
   UNION ALL SELECT CAST(child AS INTEGER), gene, round(least(greatest(mixed + CASE WHEN {uniform('mutate', "'1'", 'child', 'gene')} < 0.25
     THEN sqrt(-2 * ln(1 - {uniform('radius', "'1'", 'child', 'gene')})) * cos(2 * pi() * {uniform('angle', "'1'", 'child', 'gene')}) * 0.04
     ELSE 0 END, CASE WHEN gene < 7 THEN {_W[0]} ELSE {_T[0]} END), CASE WHEN gene < 7 THEN {_W[1]} ELSE {_T[1]} END), 6) FROM (
     SELECT a.child, x.gene, CASE WHEN {uniform('mix', "'1'", 'a.child', 'x.gene')} < 0.5 THEN x.value ELSE y.value END AS mixed
     FROM (SELECT * FROM {{won}} WHERE parent = 0) a JOIN (SELECT * FROM {{won}} WHERE parent = 1) b ON a.child = b.child
-    JOIN {{cands}} x ON x.cand = a.cand JOIN {{cands}} y ON y.cand = b.cand AND y.gene = x.gene)""",
+    JOIN {{first_cands}} x ON x.cand = a.cand JOIN {{first_cands}} y ON y.cand = b.cand AND y.gene = x.gene)""",
     "stream_dedupe": 'SELECT id, "user", activity, is_after_hours FROM {acts}',
     "stream_user_day": """SELECT "user", day AS email_day, count(*) FILTER (activity = 'Logon') AS logon_count,
   count(*) FILTER (activity = 'Logoff') AS logoff_count, count(*) FILTER (activity = 'Logon' AND is_after_hours = 1) AS after_hours_logons,

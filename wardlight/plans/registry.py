@@ -455,34 +455,33 @@ def search_users(spark, folder) -> DataFrame:
 
 @query
 def random_candidates(spark, folder):
-    # one candidate per supplier, so the population follows the table
-    size = roles.table(spark, folder, "supplier").count()
-    rows = search.random_candidates(spark, size).select("cand", F.posexplode("genes").alias("gene", "value"))
-    return rounded(rows)
+    # what the first population makes of the users: the leaders of every candidate
+    leaders = search.best_users(search_users(spark, folder), first_candidates(spark), 50)
+    return rounded(leaders.select("cand", "rank", "user", "score", "flagged"))
+
+
+def first_candidates(spark) -> list:
+    return [(r["cand"], r["genes"]) for r in search.random_candidates(spark).collect()]  # the population
 
 
 @query
 def candidate_fitness(spark, folder):
-    chosen = [(r["cand"], r["genes"]) for r in search.random_candidates(spark, fixed.SEARCH["population"]).collect()]
-    return rounded(search.fitness(search_users(spark, folder), chosen, 50))
+    return rounded(search.fitness(search_users(spark, folder), first_candidates(spark), 50))
 
 
 @query
 def bred_generation(spark, folder):
-    # suppliers as candidates, their balance as fitness
-    value = roles.table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("cand"), F.col("s_acctbal").alias("fitness"))
-    size = value.count()
-    scored = search.random_candidates(spark, size).join(value, "cand")
-    bred = search.next_generation(scored, 1, size)
+    value = search.fitness(search_users(spark, folder), first_candidates(spark), 50).select(
+        "cand", F.round("fitness", 6).alias("fitness"))
+    scored = stage(search.random_candidates(spark).join(value, "cand"), "scored-candidates")
+    bred = search.next_generation(scored, 1, fixed.SEARCH["population"])
     return rounded(bred.select("cand", F.posexplode("genes").alias("gene", "value")))
 
 
 @query
 def weight_search(spark, folder):
     users = search_users(spark, folder)
-    result = search.run_search(users, population=16, generations=3)
-    return search.compare_with_baseline(users, result.best)
+    return search.compare_with_baseline(users, search.run_search(users).best)
 
 
 # --- models -----------------------------------------------------------------------------------------
