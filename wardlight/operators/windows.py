@@ -79,10 +79,13 @@ def score_errors(errors: DataFrame, raw: str = "lstm_raw_error", score: str = "l
 
 def score_windows(user_days: DataFrame, features=fixed.BEHAVIOR_FEATURES, latent: int = 32,
                   rows: int = fixed.WINDOW_ROWS) -> DataFrame:
-    """Fit on train windows and score every user-day. `user_days` is a stored table."""
+    """Fit on train windows and score every user-day. `user_days` is a stored table.
+
+    The windows are stored, so that the two fits and the scoring do not each sort every user.
+    """
     features = list(features)
     dimension = rows * len(features)
-    windows = scaled_windows(user_days, features, rows=rows)
+    windows = stage(scaled_windows(user_days, features, rows=rows), "scaled-windows")
     train = windows.where((F.col("dataset_split") == "train") & F.col("window").isNotNull())
     model = fit_reconstruction(train, dimension, latent)
     errors = stage(reconstruction_error(windows, model, dimension), "window-errors")
