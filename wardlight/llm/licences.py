@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wardlight.llm.common import BLANK_CHARS, let, present, stage, words
 
@@ -50,6 +50,7 @@ FEATURES = 20_000      # word n-grams kept at most
 MIN_ROWS = 2           # training rows that an n-gram is in
 ALARMS = 0.001         # share of held-out unknown paragraphs that may pass the cut
 MATCH = 0.6            # share of a template's word pairs that must be in the paragraph
+REACH = max(len(t.split()) for _, t in TEMPLATES)  # words that a notice may go on for after its first line
 
 
 def tokens(text: Column) -> Column:
@@ -146,17 +147,61 @@ def confirmation(g: Column, family: Column) -> Column:
     return F.greatest(F.lit(0.0), *[F.when(family == f, share(t)).otherwise(0.0) for f, t in TEMPLATES])
 
 
+def joined_lines(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
+    """(id, body, at, w): each line's words with the next REACH words of the lines that follow it.
+
+    Lines that are `found` (id, body, at) and lines without words end a run; a line with none
+    after it is left out. A template that begins in a line is whole in its row, however it is wrapped.
+    """
+    spots = found.groupBy(F.col("id").alias("__id"), F.col("body").alias("__body")).agg(F.collect_set("at").alias("done"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(present(F.col(text))).alias("body"), present(F.col(text)).alias("t"))
+    rows = rows.join(spots, F.col("id").eqNullSafe(F.col("__id")) & (F.col("body") == F.col("__body")), "left")
+    none = F.array().cast("array<string>")
+    lines = F.transform(F.split("t", "\n"), lambda x, i: F.when(
+        F.coalesce(F.array_contains("done", i), F.lit(False)), none).otherwise(tokens(x)))
+
+    def windows(p: Column) -> Column:
+        def after(i: Column) -> Column:
+            some = F.slice(p["heads"], i + 2, REACH)
+            return let(some, lambda xs: let(F.array_position(xs, none), lambda stop: F.slice(F.flatten(
+                F.when(stop == 0, xs).otherwise(F.slice(xs, 1, F.greatest(stop - 1, F.lit(0)).cast("int")))), 1, REACH)))
+
+        made = F.transform(p["lines"], lambda x, i: let(after(i), lambda rest: F.struct(
+            i.alias("at"), F.when((F.size(x) > 0) & (F.size(rest) > 0), F.concat(x, rest)).alias("w"))))
+        return F.filter(made, lambda m: m["w"].isNotNull())
+
+    runs = let(lines, lambda xs: let(F.struct(xs.alias("lines"), F.transform(xs, lambda x: F.slice(x, 1, REACH)).alias("heads")), windows))
+    return rows.select("id", "body", F.explode(runs).alias("x")).select("id", "body", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per paragraph with a licence: key, line_no, family, p, match.
 
-    A paragraph is a line. It counts if its family's probability reaches the calibrated
-    cut and a template of the family confirms it.
+    A paragraph is a line, or a line with the words that follow it on the next ones, for
+    notices that are wrapped. It counts if its family's probability reaches the calibrated
+    cut and a template of the family confirms it. Joins that begin on adjacent lines and name one
+    family are one notice, placed where most of the template is (the last of equal ones).
     """
     model = Classifier.fit(training_table(docs, key, text))
-    rows = paragraphs(docs, key, text).select("id", "at", "line", let(tokens(F.col("line")), ngrams).alias("g"))
-    judged = model.predict(rows).withColumn("g", let(tokens(F.col("line")), ngrams))
-    return judged.withColumn("match", let(F.col("g"), lambda g: confirmation(g, F.col("family")))).where(
-        F.col("match") >= MATCH).select(F.col("id").alias(key), F.col("at").alias("line_no"), "family", "p", "match")
+
+    def confirmed(rows: DataFrame) -> DataFrame:
+        judged = model.predict(rows.withColumn("g", let(F.col("w"), ngrams))).withColumn("g", let(F.col("w"), ngrams))
+        return judged.withColumn("match", let(F.col("g"), lambda g: confirmation(g, F.col("family")))).where(
+            F.col("match") >= MATCH).select("id", "body", "at", "family", "p", "match")
+
+    whole = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.xxhash64(present(F.col(text))).alias("body"))
+    lines = whole.select("id", "body", F.posexplode(F.split(present("t"), "\n")).alias("at", "line")).where(
+        F.btrim("line", F.lit(BLANK_CHARS)) != "")
+    alone = stage(confirmed(lines.select("id", "body", "at", tokens(F.col("line")).alias("w"))), "licence-lines")
+    wrapped = confirmed(joined_lines(docs, key, text, alone)).groupBy("id", "body", "family", "at").agg(
+        F.max("p").alias("p"), F.max("match").alias("match"), F.count(F.lit(1)).alias("rows"))
+    by_line = Window.partitionBy("id", "body", "family").orderBy("at")  # the notices of one document
+    apart = F.coalesce(F.col("at") - F.lag("at").over(by_line) > 1, F.lit(True)).cast("int")
+    notices = wrapped.withColumn("apart", apart).withColumn("notice", F.sum("apart").over(by_line)).groupBy(
+        "id", "body", "family", "notice").agg(F.max_by(F.struct("at", "p", "match", "rows"), F.struct("match", "at")).alias("x"))
+    notices = notices.select("id", "family", "x.*").select("id", F.explode(F.array_repeat("at", F.col("rows").cast("int"))).alias("at"), "family", "p", "match")
+    return alone.select("id", "at", "family", "p", "match").union(notices).select(
+        F.col("id").alias(key), F.col("at").alias("line_no"), "family", "p", "match")
 
 
 def licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
