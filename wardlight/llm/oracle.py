@@ -1,7 +1,7 @@
 """The corpus queries in SQL, where SQL can express them.
 
 The fitted fields (op1, op4), the neural scores (op6), the classifier (op7), edit-distance classes
-(op5) and XXH64 fingerprints (op8) have no SQL form.
+(op5), XXH64 fingerprints (op8) and the secret network (op12) have no SQL form.
 """
 
 from __future__ import annotations
@@ -99,6 +99,62 @@ SELECT doc_id, o.source, n_tokens, coalesce(alpha, 1.0)::DOUBLE AS alpha, coales
 FROM o LEFT JOIN b2 ON o.source = b2.source AND o.block = b2.block
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+inside AS (
+  SELECT lang, part, max(a) AS longest
+  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM cand WHERE k = 3) GROUP BY lang, part),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inside i ON c.lang = i.lang AND c.phrase = i.part WHERE longest IS NULL OR 100 * longest < 50 * a),
+cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, c, x.n AS l, y.n AS r,
+    (1000000::HUGEINT * a * a // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM scored)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score
+  FROM best JOIN total USING (lang) WHERE place = 1)
+WHERE rank <= 2000
+"""
+
+OP13 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+asked AS (
+  SELECT row_number() OVER () AS item_row, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+query AS (SELECT item_row, item_id, term, count(*) AS repeats FROM (SELECT item_row, item_id, unnest(terms) AS term FROM asked) GROUP BY ALL),
+total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM texts WHERE len(terms) > 0),
+posting AS (
+  SELECT row, doc_id, term, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM texts) WHERE term IN (SELECT term FROM query) GROUP BY row, doc_id, term),
+weighted AS (
+  SELECT term, floor(1000 * ln((2.0 * any_value(n_docs) + 2) / (2.0 * count(*) + 1)))::BIGINT AS w
+  FROM posting, total GROUP BY term),
+scored AS (
+  SELECT item_row, item_id, row, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM query JOIN weighted USING (term) JOIN posting USING (term), total GROUP BY item_row, item_id, row, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
 ORACLE: dict[str, str] = {
     "op2_warc_merge": OP2, "op3_line_quality": OP3, "op9_winnow_decontaminate": OP9, "op10_temperature_mix": OP10,
+    "op11_debruijn_collocations": OP11,
+    "op13_best_position_search": OP13,
 }

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import (language, licences, line_join, mixing, neural_lm, pii, quality_lines, simhash_groups,
-                            warc_index, winnow)
+from wardlight.llm import (best_position, language, licences, line_join, mixing, neural_lm, phrase_graph, pii, quality_lines,
+                            secret_net, simhash_groups, warc_index, winnow)
 from wardlight.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_debruijn_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_net.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_crf_pii": op1_crf_pii,
     "op2_warc_merge": op2_warc_merge,
@@ -64,4 +76,7 @@ QUERIES = {
     "op8_simhash_groups": op8_simhash_groups,
     "op9_winnow_decontaminate": op9_winnow_decontaminate,
     "op10_temperature_mix": op10_temperature_mix,
+    "op11_debruijn_collocations": op11_debruijn_collocations,
+    "op12_secret_network": op12_secret_network,
+    "op13_best_position_search": op13_best_position_search,
 }
