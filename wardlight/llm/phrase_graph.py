@@ -28,7 +28,7 @@ SHARE = (50, 100)  # a longer candidate with this share of the occurrences repla
 SCALE = 1_000_000
 TOP = 2000        # phrases reported per language
 
-HELD = 4_000_000  # words that a task adds up at a time
+HELD = 1_000_000  # words that a task adds up at a time
 
 _END = b"."  # stands for every piece end; no word holds it
 _FOLD = bytes.maketrans((string.ascii_uppercase + PIECE_END + GAP).encode(),
@@ -114,8 +114,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     """(lang, phrase, n): exact counts of all phrases of one to three words that occur `least`
     times, and the number of word occurrences under the empty phrase. Stored.
 
-    Each task adds up the graph of a few million words before it gives out the counts, so a
-    key has few rows per task however frequent it is.
+    Each task adds up the graph of a million words before it gives out the counts, so a key
+    has few rows per task however frequent it is; adding up again before the shuffle would only spill.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), present(F.col(text)).alias("text"))
 
@@ -133,7 +133,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         yield from graph.counts()
 
     parts = rows.mapInArrow(count, "lang string, phrase string, n long")
-    total = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    total = parts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return stage(total.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrase-counts")
 
 
