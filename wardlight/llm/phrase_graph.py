@@ -27,6 +27,7 @@ LEAST = 10        # occurrences that make a candidate
 SHARE = (50, 100)  # a longer candidate with this share of the occurrences replaces a phrase
 SCALE = 1_000_000
 TOP = 2000        # phrases reported per language
+SPREAD = 64       # parts in which a language is ranked
 
 HELD = 1_000_000  # words that a task adds up at a time
 
@@ -194,8 +195,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     scored = parts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).withColumn(
         "score", F.expr(f"({SCALE} * cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
-    order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), F.asc("phrase"))
-    kept = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = lambda *by: F.row_number().over(
+        Window.partitionBy(*by).orderBy(F.desc("c.score"), F.desc("a"), F.asc("phrase")))
+    # A language's rows are ranked in SPREAD parts first, so its last task reads few rows at any size.
+    some = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))).withColumn("rank", order("lang", "part")).where(F.col("rank") <= top)
+    kept = some.withColumn("rank", order("lang")).where(F.col("rank") <= top)
     total = counts.where(F.col("phrase") == "").select("lang", "n")
     return kept.join(F.broadcast(total), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score")
