@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,33 @@ def fitted(df: DataFrame) -> dict:
     return df.first().asDict()
 
 
+#: Shuffle files of a finished write are of no use any more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Spark's file system of a path, and the path in its form."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Queries that run inside drop their shuffle files at their end.
+
+    Without this the files stay until the driver collects its garbage, so a job of many
+    stored steps holds the shuffles of all of them at once. What is read later is stored, so
+    a lost executor still costs a repetition of the running step only.
+    """
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet under the shared root and return the stored table.
 
@@ -44,5 +72,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with short_shuffles(spark):
+        df.write.mode("error").parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more (others are left alone)."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path:
+            fs, where = file_system(table.sparkSession, path)
+            fs.delete(where, True)
