@@ -123,13 +123,46 @@ def test_edit_links(spark, docs):
                 spot = rnd.randint(0, len(y))
                 y[spot:spot + rnd.randint(0, 1)] = rnd.choice(["", "q", "é"])
             extra.append("".join(y))
-    every = sorted({x for x in base + extra if x})
+    short = ["".join(rnd.choice("abé") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    close = ["Call us at the main office", "Call us at the main offica", "x" * 29, "x" * 31]
+    every = sorted({x for x in base + extra + short + close if x})
+    want = {frozenset((a, b)) for i, a in enumerate(every) for b in every[:i] if abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2}
+    got = links_of(spark, every)
+    assert len(got) == len(set(got)) and set(got) == want and frozenset(close[:2]) in want and frozenset(close[2:]) in want
+
+
+def links_of(spark, every):
     df = spark.createDataFrame([(x,) for x in every], "line string").withColumn("id", F.xxhash64("line"))
-    ids = {r["line"]: r["id"] for r in df.collect()}
-    want = {frozenset((ids[a], ids[b])) for i, a in enumerate(every) for b in every[:i]
-            if min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2}
-    got = [frozenset((r["a"], r["b"])) for r in line_join.edit_links(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and want
+    lines = {r["id"]: r["line"] for r in df.collect()}
+    return [frozenset((lines[r["a"]], lines[r["b"]])) for r in line_join.edit_links(line_join.distinct_lines(df)).collect()]
+
+
+def near_by_deletions(words):
+    """Pairs within two edits: they share a text that two deletions leave, and are then measured."""
+    holders = defaultdict(set)
+    for w in words:
+        for i in range(len(w) + 1):
+            for j in range(i + 1):
+                v = w[:i] + w[i + 1:]
+                holders[v[:j] + v[j + 1:]].add(w)
+    return {frozenset((a, b)) for ws in holders.values() for a in ws for b in ws if a < b and edit(a, b) <= 2}
+
+
+def test_template_lines(spark, monkeypatch):
+    """Lines of one template that differ in their numbers; every key of the template is crowded."""
+    import random
+    rnd = random.Random(4)
+    codes = {f"{rnd.randrange(10**8):08d}" for _ in range(5000)}
+    codes |= {c[:3] + rnd.choice("0123456789") + c[4:] for c in sorted(codes)[:60]} | {c[:2] + c[3:] for c in sorted(codes)[:40]}
+    codes |= {c[:6] + c[7:] + "77" for c in sorted(codes)[40:60]} | {c[:1] + "5" + c[1:] for c in sorted(codes)[60:80]}
+    lines = lambda c: f"Product code {c} is available in the main store today"
+    want = {frozenset(map(lines, pair)) for pair in near_by_deletions(codes)}
+    compared = []
+    real = line_join.stage
+    monkeypatch.setattr(line_join, "stage", lambda df, name: (lambda t: compared.append((name, t.count())) or t)(real(df, name)))
+    got = links_of(spark, [lines(c) for c in sorted(codes)])
+    assert set(got) == want and len(got) == len(want) > 100
+    assert sum(n for name, n in compared if name == "met-lines") < 400 * len(codes)  # all pairs: 2,566 a line
 
 
 def test_line_classes(spark, docs, texts):

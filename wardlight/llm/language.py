@@ -136,7 +136,8 @@ class Labeller:
         return np.fromiter((self.rows[w] for w in words), np.int64, len(words))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        return self.table[self.ids(words)]
+        ids = self.ids(words)  # may grow the table
+        return self.table[ids]
 
     def label(self, texts: list[str]) -> list[tuple[str, float, int]]:
         """(language, score, switches) of each text.
