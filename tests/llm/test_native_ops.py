@@ -152,7 +152,7 @@ def test_template_lines(spark, monkeypatch):
     """Lines of one template that differ in their numbers; every key of the template is crowded."""
     import random
     rnd = random.Random(4)
-    codes = {f"{rnd.randrange(10**8):08d}" for _ in range(5000)}
+    codes = {f"{rnd.randrange(10**6):06d}" for _ in range(2000)}
     codes |= {c[:3] + rnd.choice("0123456789") + c[4:] for c in sorted(codes)[:60]} | {c[:2] + c[3:] for c in sorted(codes)[:40]}
     codes |= {c[:6] + c[7:] + "77" for c in sorted(codes)[40:60]} | {c[:1] + "5" + c[1:] for c in sorted(codes)[60:80]}
     lines = lambda c: f"Product code {c} is available in the main store today"
@@ -162,7 +162,7 @@ def test_template_lines(spark, monkeypatch):
     monkeypatch.setattr(line_join, "stage", lambda df, name: (lambda t: compared.append((name, t.count())) or t)(real(df, name)))
     got = links_of(spark, [lines(c) for c in sorted(codes)])
     assert set(got) == want and len(got) == len(want) > 100
-    assert sum(n for name, n in compared if name == "met-lines") < 400 * len(codes)  # all pairs: 2,566 a line
+    assert sum(n for name, n in compared if name == "met-lines") < 40 * len(codes)  # all pairs: 1,066 a line
 
 
 def test_line_classes(spark, docs, texts):
