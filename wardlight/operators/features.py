@@ -102,6 +102,7 @@ def _totals(rows: DataFrame, kinds) -> DataFrame:
         *folded,
         *[F.count_if((F.col("kind") == k) & F.col("pc").isNotNull()).alias(n)
           for k, n in counted.items()],
+        *[(F.count_if(F.col("kind") == k) > 0).alias(f"has_{k}") for k in kinds],
     )
 
 
@@ -145,18 +146,29 @@ def file_user_day(cleaned: DataFrame) -> DataFrame:
     return _user_day("file", cleaned)
 
 
-def behavior_user_day(email: DataFrame, logon: DataFrame | None = None,
-                      device: DataFrame | None = None, file: DataFrame | None = None) -> DataFrame:
-    """All 27 behavioural features per (user, day) that has email.
+def all_user_days(email: DataFrame, logon: DataFrame | None = None,
+                  device: DataFrame | None = None, file: DataFrame | None = None) -> DataFrame:
+    """Totals per (user, day) of any log, with has_<log>: whether that log has such rows.
 
     The logs are folded as one long table, so four sources cost two shuffles instead
-    of one aggregation and one join each. An absent log gives zero columns.
+    of one aggregation and one join each.
     """
     given = {"email": email, "logon": logon, "device": device, "file": file}
     present = {k: df for k, df in given.items() if df is not None}
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                   [_measures(k, df) for k, df in present.items()])
-    totals = email_ratios(_totals(rows, list(present)).where("email_count > 0"))
+    return _totals(rows, list(present))
+
+
+def behavior_user_day(email: DataFrame, logon: DataFrame | None = None,
+                      device: DataFrame | None = None, file: DataFrame | None = None) -> DataFrame:
+    """All 27 behavioural features per (user, day) that has email. An absent log gives zero columns."""
+    return email_days(all_user_days(email, logon, device, file))
+
+
+def email_days(totals: DataFrame) -> DataFrame:
+    """The features of the days that have email, from the totals of all logs."""
+    totals = email_ratios(totals.where("email_count > 0"))
     others = [c for k in ("logon", "device", "file") for c in LOGS[k].features]
     filled = [F.coalesce(F.col(c), F.lit(0)).cast("long") if c in totals.columns
               else F.lit(0).cast("long") for c in others]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardlight.functions.scale import at_least
 from wardlight.operators.order_stats import fit_quantiles, running_sums
 from wardlight.operators.signals import mark_members
+from wardlight.operators.truth import label_days
 from wardlight.sources.stage import stage
 
 
@@ -52,12 +53,21 @@ def detection_metrics(df: DataFrame, truth: str = "is_insider", score: str = "sc
 def day_metrics(scored: DataFrame, labels: DataFrame, score: str, severity: str,
                 split: str = "dataset_split") -> DataFrame:
     """Day-level metrics on determined test rows; suspicious and high count as predicted."""
+    test = _determined_test(scored, score, severity, split)
+    joined = test.join(labels.select("user", "email_day", "is_insider"), ["user", "email_day"], "left")
+    return detection_metrics(joined.withColumn("is_insider", F.coalesce("is_insider", F.lit(0))))
+
+
+def interval_metrics(scored: DataFrame, intervals: DataFrame, score: str, severity: str,
+                     split: str = "dataset_split") -> DataFrame:
+    """`day_metrics` with labels from intervals (user, start, end), whose days are not listed."""
+    return detection_metrics(label_days(_determined_test(scored, score, severity, split), intervals))
+
+
+def _determined_test(scored: DataFrame, score: str, severity: str, split: str) -> DataFrame:
     test = scored.where((F.col(split) == "test") & (F.col(severity) != "undetermined"))
-    joined = test.select("user", "email_day", F.col(score).alias("score"), severity).join(
-        labels.select("user", "email_day", "is_insider"), ["user", "email_day"], "left")
-    return detection_metrics(joined.withColumns({
-        "is_insider": F.coalesce("is_insider", F.lit(0)),
-        "predicted": F.col(severity).isin("suspicious", "high").cast("int")}))
+    return test.select("user", "email_day", F.col(score).alias("score"),
+                       F.col(severity).isin("suspicious", "high").cast("int").alias("predicted"))
 
 
 def user_max_metrics(scored: DataFrame, insiders: DataFrame, score: str, severity: str,

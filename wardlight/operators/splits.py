@@ -13,8 +13,8 @@ def _fractions(train: float, val: float):
 
 
 def split_by_user(df: DataFrame, user: str = "user", day: str = "email_day",
-                  train: float = fixed.TRAIN_FRACTION, val: float = fixed.VAL_FRACTION) -> DataFrame:
-    """Add `dataset_split` from each user's own timeline.
+                  train: float = fixed.TRAIN_FRACTION, val: float = fixed.VAL_FRACTION, place: str | None = None) -> DataFrame:
+    """Add `dataset_split` from each user's own timeline, and a row's place in it (from 0) as `place`.
 
     Input is unique on (user, day), so a window holds at most one row per calendar day.
     """
@@ -28,7 +28,7 @@ def split_by_user(df: DataFrame, user: str = "user", day: str = "email_day",
                     F.when(F.col("__pos") < F.floor(F.col("__size") * upto_train), "train")
                     .when(F.col("__pos") < F.floor(F.col("__size") * upto_val), "val")
                     .otherwise("test"))
-        .drop("__pos", "__size")
+        .withColumnsRenamed({"__pos": place} if place else {}).drop("__pos", "__size")
     )
 
 

@@ -60,6 +60,31 @@ def expand_intervals(intervals: DataFrame, start: str = "start", end: str = "end
     return days.distinct().withColumn("is_insider", F.lit(1))
 
 
+def label_days(rows: DataFrame, intervals: DataFrame, day: str = "email_day", start: str = "start", end: str = "end",
+               user: str = "user", bin_days: int = 64) -> DataFrame:
+    """Add is_insider (1 if some interval of the user holds the day, else 0) without listing the days of intervals.
+
+    Intervals are cut at the edges of bins of `bin_days` days and reduced per (user, bin) to
+    disjoint stretches, so a row meets at most the stretches of its own bin; a long interval costs
+    one row per bin. Days are the truncated endpoints, both included; a null endpoint, an end
+    before the start and a null user or day label nothing. Every row stays, once.
+    """
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    slot = lambda n: F.floor(n / bin_days).cast("int")
+    ends = intervals.select(F.col(user).alias("__user"), number(F.to_date(start)).alias("lo"), number(F.to_date(end)).alias("hi"))
+    cut = ends.where("lo <= hi AND __user IS NOT NULL").select(
+        "__user", "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("__bin"))
+    inside = cut.select("__user", "__bin", F.greatest("lo", F.col("__bin") * bin_days).alias("lo"),
+                        F.least("hi", (F.col("__bin") + 1) * bin_days - 1).alias("hi")).distinct()
+    # At most bin_days (bin_days + 1) / 2 different stretches per user and bin, whatever the number of intervals.
+    held = inside.groupBy("__user", "__bin").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
+    at = number(F.col(day))
+    marked = rows.withColumn("__bin", slot(at)).join(
+        held.withColumnRenamed("__bin", "__slot"), (F.col(user) == F.col("__user")) & (F.col("__bin") == F.col("__slot")), "left")
+    hit = F.exists("stretches", lambda s: (s["lo"] <= at) & (at <= s["hi"]))
+    return marked.withColumn("is_insider", F.coalesce(hit.cast("int"), F.lit(0))).drop("__bin", "__slot", "__user", "stretches")
+
+
 def day_labels(key: DataFrame, scored_users: DataFrame) -> DataFrame:
     """Labelled user-days of the chosen release."""
     matches = release_matches(key, scored_users)

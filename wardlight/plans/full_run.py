@@ -12,11 +12,12 @@ from wardlight import fixed, schemas
 from wardlight.operators import (clean, features, forest, metrics, reports, risk, search, sensitivity,
                                  signals, splits, topk, truth, windows)
 from wardlight.sources import readers, sinks
+from wardlight.sources.summary import RunSummary, distinct_users, rows_and_days, split_rows
 
 
 def clean_logs(spark: SparkSession, raw: dict[str, str], out: str, attachments: str = "paths",
-               multiline: tuple[str, ...] = ("email",)) -> None:
-    """Clean every given source into `out/cleaned/<source>`.
+               multiline: tuple[str, ...] = ("email",), summary: RunSummary | None = None) -> None:
+    """Clean every given source into `out/cleaned/<source>`; counters are gathered in `summary` on the way.
 
     `raw` maps source names to CSV paths; email and psychometric must exist, the rest
     may be absent. Sources in `multiline` hold quoted newlines and are read file by
@@ -25,26 +26,42 @@ def clean_logs(spark: SparkSession, raw: dict[str, str], out: str, attachments:
     readers.require_inputs(spark, {s: raw.get(s, f"<{s} not given>") for s in schemas.REQUIRED_SOURCES})
     cleaned = f"{out}/cleaned"
     email = clean.clean_email(readers.read_csv(spark, raw["email"], tolerant=True, multiline="email" in multiline), attachments)
-    sinks.write_by_day(email, f"{cleaned}/email", "email_day")
+    summary = summary or RunSummary()
+    rows = {"rows": F.count(F.lit(1))}
+    sinks.write_by_day(email, f"{cleaned}/email", "email_day", lambda df: summary.watched("email", df, **rows_and_days("email_day")))
     people = readers.read_csv(spark, raw["psychometric"], multiline="psychometric" in multiline)
-    sinks.write_table(clean.clean_psychometric(people), f"{cleaned}/psychometric")
+    sinks.write_table(summary.watched("psychometric", clean.clean_psychometric(people), **rows), f"{cleaned}/psychometric")
     cutoffs = splits.date_cutoffs(spark.read.parquet(f"{cleaned}/email").select("email_day"))
     logs = {"logon": (schemas.LOGON, clean.clean_logon), "device": (schemas.DEVICE, clean.clean_device),
             "file": (schemas.FILE, clean.clean_file)}
     for source, (columns, cleaner) in logs.items():
         table = cleaner(readers.read_optional_csv(spark, raw.get(source), columns, multiline=source in multiline))
-        sinks.write_by_day(splits.split_by_date(table, cutoffs), f"{cleaned}/{source}")
+        sinks.write_by_day(splits.split_by_date(table, cutoffs), f"{cleaned}/{source}",
+                           watch=lambda df, s=source: summary.watched(s, df, **rows_and_days("day"), **split_rows()))
     dimensions = {"users": (schemas.USERS, clean.clean_users), "decoy_file": (schemas.DECOY, clean.clean_decoy)}
     for source, (columns, cleaner) in dimensions.items():
         table = readers.read_optional_csv(spark, raw.get(source), columns, multiline=source in multiline)
-        sinks.write_table(cleaner(table), f"{cleaned}/{source}")
+        sinks.write_table(summary.watched(source, cleaner(table), **rows), f"{cleaned}/{source}")
 
 
-def build_user_days(spark: SparkSession, out: str) -> DataFrame:
+def build_user_days(spark: SparkSession, out: str, summary: RunSummary | None = None) -> DataFrame:
+    """Totals of all logs per user-day, then the feature table; counters are gathered in `summary`."""
     read = lambda source: spark.read.parquet(f"{out}/cleaned/{source}")
-    days = features.behavior_user_day(read("email"), read("logon"), read("device"), read("file"))
-    merged = features.add_traits(splits.split_by_user(days), read("psychometric"))
-    sinks.write_table(merged, f"{out}/user_days")
+    logs = {k: read(k) for k in ("email", "logon", "device", "file")}
+    return merge_user_days(spark, out, logs, read("psychometric"), summary)
+
+
+def merge_user_days(spark: SparkSession, out: str, logs: dict[str, DataFrame], people: DataFrame,
+                    summary: RunSummary | None = None) -> DataFrame:
+    summary = summary or RunSummary()
+    totals = summary.watched("user_day_totals", features.all_user_days(**logs),
+                             **{f"{k}_user_days": F.count_if(f"has_{k}") for k in logs})
+    sinks.write_table(totals, f"{out}/user_day_totals")
+    days = features.email_days(spark.read.parquet(f"{out}/user_day_totals"))
+    merged = features.add_traits(splits.split_by_user(days, place="__place"), people)
+    seen = summary.watched("user_days", merged, rows=F.count(F.lit(1)), users=distinct_users("__place"),
+                           trait_matches=F.count("o"), **split_rows())
+    sinks.write_table(seen.drop("__place"), f"{out}/user_days")
     return spark.read.parquet(f"{out}/user_days")
 
 
@@ -130,8 +147,10 @@ def search_weights(spark: SparkSession, out: str, insiders: DataFrame, populatio
 def run_all(spark: SparkSession, raw: dict[str, str], out: str, key_path: str | None = None,
             attachments: str = "paths", multiline: tuple[str, ...] = ("email",)) -> DataFrame:
     """The whole run; returns the stored investigation queue."""
-    clean_logs(spark, raw, out, attachments, multiline)
-    build_user_days(spark, out)
+    summary = RunSummary()
+    clean_logs(spark, raw, out, attachments, multiline, summary)
+    build_user_days(spark, out, summary)
+    sinks.write_table(summary.table(spark), f"{out}/run_summary")
     score_models(spark, out)
     score_sensitivity(spark, out)
     insiders, weights = None, None

@@ -565,6 +565,26 @@ def _merge_with(body: str) -> str:
     return re.sub(r"\) WITH m AS", "), m AS", sql, count=1)
 
 
+def _counters(section: str, source: str, metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, '{m}' AS metric, CAST({e} AS VARCHAR) AS value FROM {source}" for m, e in metrics.items())
+
+
+_LOG_SPLIT = """(SELECT *, CASE WHEN date < mail_days[CAST(floor(len(mail_days) * CAST(0.7 AS DOUBLE)) AS INTEGER) + 1] THEN 'train'
+  WHEN date < mail_days[CAST(floor(len(mail_days) * CAST(0.85 AS DOUBLE)) AS INTEGER) + 1] THEN 'val' ELSE 'test' END AS dataset_split
+  FROM {acts}, (SELECT list_sort(list(DISTINCT email_day)) AS mail_days FROM {mails}) WHERE activity IN (%s))"""
+_SPLIT_ROWS = {part: f"count(*) FILTER (dataset_split = '{part}')" for part in ("train", "val", "test")}
+_LOG_KINDS = {"logon": "'Logon', 'Logoff'", "device": "'Connect', 'Disconnect'", "file": "'File Write'"}
+BODIES["run_summary"] = " UNION ALL ".join([
+    _counters("email", "{mails}", {"rows": "count(*)", "first": "min(email_day)", "last": "max(email_day)"}),
+    *[_counters(k, _LOG_SPLIT % kinds, {"rows": "count(*)", "first": "min(day)", "last": "max(day)", **_SPLIT_ROWS}) for k, kinds in _LOG_KINDS.items()],
+    "SELECT 'psychometric' AS section, 'rows' AS metric, CAST(count(*) AS VARCHAR) AS value FROM customer",
+    *[_counters("user_day_totals", "{%s_ud}" % k, {f"{k}_user_days": "count(*)"}) for k in ("email", "logon", "device", "file")],
+    _counters("user_days", "{uds}", {"rows": "count(*)", "users": 'count(DISTINCT "user")', "trait_matches": "count(o)", **_SPLIT_ROWS})])
+BODIES["late_days"] = 'SELECT id, date, day, "user", activity, cents FROM {acts}'
+BODIES["bucketed_user_days"] = BODIES["user_day_join"]
+BODIES["carried_ids"] = BODIES["clean_logon"]
+BODIES["interval_days"] = """SELECT d."user", d.email_day, CASE WHEN l."user" IS NULL THEN 0 ELSE 1 END AS is_insider FROM {dv} d
+  LEFT JOIN {days2} l ON d."user" = l."user" AND d.email_day = l.email_day"""
 BODIES["stream_clean"] = BODIES["clean_logon"]
 
 ORACLE: dict[str, str] = {name: _merge_with(body) for name, body in BODIES.items()}

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardlight import fixed
 from wardlight.functions import rules, text
-from wardlight.operators import (clean, features, forest, metrics, order_stats, reports, risk, scaling,
+from wardlight.operators import (carried, clean, features, forest, metrics, order_stats, reports, risk, scaling,
                                  search, sensitivity, signals, splits, topk, truth, windows)
-from wardlight.plans import roles
-from wardlight.sources import readers, sinks
-from wardlight.sources.stage import stage
+from wardlight.plans import full_run, roles
+from wardlight.sources import layout, readers, sinks
+from wardlight.sources.stage import shared_root, stage
+from wardlight.sources.summary import RunSummary, rows_and_days, split_rows
 from wardlight.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,8 +328,8 @@ def users_per_release(spark, folder):
 
 @query
 def day_eval(spark, folder):
-    return metrics.day_metrics(roles.day_scores(spark, folder), roles.labelled_days(spark, folder),
-                               "score", "severity")
+    return metrics.interval_metrics(roles.day_scores(spark, folder), roles.labelled_intervals(spark, folder),
+                                    "score", "severity")
 
 
 @query
@@ -484,6 +486,68 @@ def weight_search(spark, folder):
     return search.compare_with_baseline(users, search.run_search(users).best)
 
 
+# --- stored tables ----------------------------------------------------------------------------------
+
+@query
+def run_summary(spark, folder):
+    """Counters of cleaned logs, user-days and trait matches, gathered while the tables are written."""
+    out = f"{shared_root(spark)}/summary-{uuid.uuid4().hex}"
+    summary = RunSummary()
+    email = roles.emails(spark, folder)
+    sinks.write_by_day(email, f"{out}/email", "email_day", lambda df: summary.watched("email", df, **rows_and_days("email_day")))
+    cutoffs = splits.date_cutoffs(spark.read.parquet(f"{out}/email").select("email_day"))
+    logs = {"logon": roles.logons, "device": roles.devices, "file": roles.files}
+    for name, role in logs.items():
+        sinks.write_by_day(splits.split_by_date(role(spark, folder), cutoffs), f"{out}/{name}",
+                           watch=lambda df, n=name: summary.watched(n, df, **rows_and_days("day"), **split_rows()))
+    tables = {name: spark.read.parquet(f"{out}/{name}") for name in ("email", *logs)}
+    people = summary.watched("psychometric", roles.traits(spark, folder), rows=F.count(F.lit(1)))
+    sinks.write_table(people, f"{out}/psychometric")
+    full_run.merge_user_days(spark, out, tables, spark.read.parquet(f"{out}/psychometric"), summary)
+    return summary.table(spark)
+
+
+@query
+def late_days(spark, folder):
+    """Activity written by day; then rows that came late on two days, sent twice, are merged into those days."""
+    path = f"{shared_root(spark)}/days-{uuid.uuid4().hex}"
+    rows = roles.activity(spark, folder).select("id", "date", "day", "user", "activity", "cents")
+    late = (F.dayofmonth("day") <= 2) & (F.col("id") % 3 == 0)
+    sinks.write_by_day(rows.where(~late), path)
+    for _ in range(2):
+        sinks.merge_late(rows.where(late), path, "id", order="date")
+    return spark.read.parquet(path).select(rows.columns)
+
+
+@query
+def carried_ids(spark, folder):
+    """The logon log cleaned in two runs of which the second holds the first one's rows again."""
+    raw = roles.raw_activity(roles.table(spark, folder, "events"))
+    taken = carried.Carried()
+    first = taken.take(clean.clean_logon(raw.where(F.col("to_removable_media").isNotNull())), "id", "date")
+    second = taken.take(clean.clean_logon(raw), "id", "date")
+    return first.unionByName(second)
+
+
+@query
+def bucketed_user_days(spark, folder):
+    """User-day tables of the four logs stored by (user, day) and joined without a shuffle of the stored rows."""
+    keys = ("user", "email_day")
+    store = lambda df, name: layout.store_bucketed(df, name, keys, keys)
+    return features.join_user_days(
+        store(features.email_user_day(roles.emails(spark, folder)).select(*keys, "email_count"), "email-days"),
+        store(features.logon_user_day(roles.logons(spark, folder)), "logon-days"),
+        store(features.device_user_day(roles.devices(spark, folder)), "device-days"),
+        store(features.file_user_day(roles.files(spark, folder)), "file-days"))
+
+
+@query
+def interval_days(spark, folder):
+    """Every user-day with its label, found by intervals cut to bins."""
+    marked = truth.label_days(roles.day_values(spark, folder), roles.labelled_intervals(spark, folder), bin_days=8)
+    return marked.select("user", "email_day", "is_insider")
+
+
 # --- models -----------------------------------------------------------------------------------------
 
 @query

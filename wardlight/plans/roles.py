@@ -233,14 +233,10 @@ def key_users(spark, folder) -> DataFrame:
         F.col("user_id").alias("user")).distinct()
 
 
-def labelled_days(spark, folder) -> DataFrame:
+def labelled_intervals(spark, folder) -> DataFrame:
     """Two days from every expensive error event on."""
-    from wardlight.operators.truth import expand_intervals
-
     rows = table(spark, folder, "events").where("event_type = 'error' AND value > 200")
-    return expand_intervals(rows.select(
-        F.col("user_id").alias("user"), F.col("ts").alias("start"),
-        (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("end")))
+    return rows.select(F.col("user_id").alias("user"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("end"))
 
 
 def window_user_scores(spark, folder) -> DataFrame:

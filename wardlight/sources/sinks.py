@@ -6,14 +6,44 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardlight.sources.stage import drop_stage, stage
 
-def write_by_day(df: DataFrame, path: str, day: str = "day") -> None:
+
+def write_by_day(df: DataFrame, path: str, day: str = "day", watch=None) -> None:
     """Overwrite a Parquet table partitioned by day.
 
     The rebalance hint lets AQE split a hot day and merge small ones, so neither one
-    huge file nor a file per (task, day) is written.
+    huge file nor a file per (task, day) is written. `watch` may add an observation to the
+    rows as they are written.
+    """
+    spread = df.hint("rebalance", day)
+    (watch(spread) if watch else spread).write.mode("overwrite").partitionBy(day).parquet(path)
+
+
+def replace_days(df: DataFrame, path: str, day: str = "day") -> None:
+    """Overwrite the days that `df` has in a table written by day; all other days stay.
+
+    Repeating it gives the same table.
     """
-    df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
+    df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def merge_late(late: DataFrame, path: str, key: str, day: str = "day", order: str | None = None) -> None:
+    """Add late rows to a table written by day: the days they touch are written anew, with one row per key.
+
+    Only those days are read. The merged rows are stored before the days are replaced, so a
+    run that fails can be repeated; a repeated one changes nothing.
+    """
+    from wardlight.operators.clean import keep_first
+
+    spark = late.sparkSession
+    late = stage(late, "late-rows")
+    days = [r[0] for r in late.select(day).distinct().collect()]  # calendar days of one batch
+    stored = spark.read.parquet(path)
+    touched = stored.where(F.col(day).isin([d for d in days if d is not None]) | (F.lit(None in days) & F.col(day).isNull()))
+    merged = stage(keep_first(touched.select(late.columns).unionByName(late), key, order), "merged-days")
+    replace_days(merged, path, day)
+    drop_stage(late, merged)
 
 
 def write_table(df: DataFrame, path: str) -> None:
