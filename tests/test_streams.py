@@ -1,31 +1,88 @@
-"""Streams with bounded state: later files update keys, closed days leave the state."""
+"""Streams with bounded state: later files update keys, closed days leave the state, snapshots bound the reading."""
 
+import os
 from datetime import datetime
 
-from wardlight.streaming import logs
+import pytest
 
+from wardlight.streaming import logs, pcs
+from wardlight.streaming.snapshots import SnapshotTable
 
-def test_late_event_updates_its_day_and_closed_days_leave_the_state(spark, tmp_path):
+SCHEMA = "id string, user string, date timestamp, activity string, is_after_hours int, pc string"
+FILES = [
+    [("1", "u", datetime(2024, 1, 1, 9), "a"), ("2", "v", datetime(2024, 1, 1, 10), "a")],
+    [("3", "u", datetime(2024, 1, 1, 23), "b"), ("4", "u", datetime(2024, 1, 2, 8), None)],  # the first one is late
+    [("5", "u", datetime(2024, 1, 9, 8), "a")],
+    [("6", "u", datetime(2024, 1, 9, 9), "a")],
+]
+WANT = {("u", "2024-01-01"): (2, 2), ("v", "2024-01-01"): (1, 1), ("u", "2024-01-02"): (1, 0), ("u", "2024-01-09"): (2, 1)}
+
+
+def batches(spark, tmp_path, make, keys):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "id string, user string, date timestamp, activity string, is_after_hours int, pc string"
-    files = [
-        [("1", "u", datetime(2024, 1, 1, 9)), ("2", "v", datetime(2024, 1, 1, 10))],
-        [("3", "u", datetime(2024, 1, 1, 23)), ("4", "u", datetime(2024, 1, 2, 8))],  # the first one is late
-        [("5", "u", datetime(2024, 1, 9, 8))],
-        [("6", "u", datetime(2024, 1, 9, 9))],
-    ]
     sizes = []
-    for rows in files:
-        data = [(i, u, t, "Logon", 0, "pc1") for i, u, t in rows]
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
-        days = logs.user_day_counts(spark.readStream.schema(schema).parquet(source))
-        run = logs.start_table(days, out, "days", "update")
+    for rows in FILES:
+        data = [(i, u, t, "Logon", 0, pc) for i, u, t, pc in rows]
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        days = make(spark.readStream.schema(SCHEMA).parquet(source))
+        run = logs.start_table(days, out, "days", keys)
         run.awaitTermination()
         sizes.append(run.lastProgress.stateOperators[0].numRowsTotal)
-    table = logs.newest(spark, f"{out}/days", days.schema, ("user", "email_day"))
-    got = {(r["user"], str(r["email_day"])): r["logon_count"] for r in table.collect()}
-    assert got == {("u", "2024-01-01"): 2, ("v", "2024-01-01"): 1, ("u", "2024-01-02"): 1, ("u", "2024-01-09"): 2}
+    return SnapshotTable(spark, f"{out}/days", days.schema, keys).read(), sizes
+
+
+def counts(table):
+    return {(r["user"], str(r["email_day"])): (r["logon_count"], r["unique_pcs"]) for r in table.collect()}
+
+
+def test_late_event_updates_its_day_and_closed_days_leave_the_state(spark, tmp_path):
+    parts, sizes = batches(spark, tmp_path, logs.user_day_parts, ("user", "email_day", "pc"))
+    assert counts(logs.fold_user_days(parts)) == WANT
     assert max(sizes) >= 3 and sizes[-1] == 1
     # A batch holds the keys that it changed, not the whole table.
-    last = spark.read.parquet(f"{out}/days").where("batch = 3 or batch = 4 or batch = 5").groupBy("batch").count().collect()
-    assert all(r["count"] <= 1 for r in last)
+    sizes = [spark.read.parquet(f"{tmp_path}/out/days/{f}").count() for f in os.listdir(tmp_path / "out/days") if f.startswith("change-")]
+    assert sorted(sizes)[-1] <= 2 and len(sizes) >= 4
+
+
+def test_state_map_of_pcs(spark, tmp_path):
+    with pcs.rocks(spark):
+        table, _ = batches(spark, tmp_path, pcs.user_day_exact, ("user", "email_day"))
+    assert counts(table) == WANT
+
+
+def rows(spark, n, size=5):
+    return spark.createDataFrame([((n + i) % 12, n * 100 + i, None if i == 2 else "x") for i in range(size)], "k int, v int, w string")
+
+
+def test_snapshots_bound_what_is_read(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), rows(spark, 0).schema, ("k",), most=3)
+    want = {}
+    assert table.read().count() == 0
+    for n in range(14):
+        table.add(rows(spark, n), n)
+        table.add(rows(spark, n), n)  # a batch may come twice
+        want |= {r["k"]: (r["v"], r["w"]) for r in rows(spark, n).collect()}
+        assert {r["k"]: (r["v"], r["w"]) for r in table.read().collect()} == want
+        assert len(table._parts()[0]) <= 1 + 3
+    assert len(os.listdir(tmp_path / "t")) <= 2 + 3 * 3 + 1  # older bases and change sets are deleted
+
+
+@pytest.mark.parametrize("broken", ["_publish", "_merged"])
+def test_a_crash_between_base_and_snapshot_changes_nothing(spark, tmp_path, monkeypatch, broken):
+    table = SnapshotTable(spark, str(tmp_path / "t"), rows(spark, 0).schema, ("k",), most=2)
+    for n in range(2):
+        table.add(rows(spark, n), n)
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(table, broken, fail)
+        with pytest.raises(OSError):
+            table.add(rows(spark, 2), 2)
+    want = {}
+    for n in range(3):
+        want |= {r["k"]: r["v"] for r in rows(spark, n).collect()}
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want and table._parts()[1] == -1
+    table.add(rows(spark, 2), 2)  # the stream repeats the batch
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want and table._parts() == (["base-2"], 2)

@@ -158,6 +158,30 @@ def score_forest(df: DataFrame, nodes: DataFrame, features, subsample_size: int,
     return df.withColumn(output, isolation(*values))
 
 
+def walk_forest(df: DataFrame, nodes: DataFrame, features, subsample_size: int, output: str = "iforest_raw_score") -> DataFrame:
+    """`score_forest` without Python: each tree is walked by an expression over arrays of nodes.
+
+    The node arrays ride in the plan as one broadcast row (at most trees * (2 * subsample - 1)
+    nodes, as in `score_forest`). Slower for hundreds of trees, as lambdas are interpreted, but
+    nothing leaves the JVM, so it serves small forests and streams.
+    """
+    order = F.array_sort(F.collect_list(F.struct("node", "feature", "threshold", "left", "right", "path")))
+    tree = nodes.groupBy("tree").agg(order.alias("nodes"), F.max("node").alias("last"))
+    forest = tree.agg(F.collect_list("nodes").alias("__forest"))
+    depth = math.ceil(math.log2(max(subsample_size, 2)))
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+
+    def path(held):
+        step = lambda at, _: F.when(at["feature"] < 0, at).otherwise(
+            F.get(held, F.when(F.get(F.col("__x"), at["feature"]) <= at["threshold"], at["left"]).otherwise(at["right"])))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.get(held, F.lit(0)), step)["path"]
+
+    norm = float(mean_path([subsample_size])[0]) or 1.0
+    joined = df.withColumn("__x", x).join(F.broadcast(forest))
+    total = F.aggregate(F.transform("__forest", path), F.lit(0.0), lambda a, b: a + b)
+    return joined.withColumn(output, F.pow(F.lit(2.0), -total / F.size("__forest") / norm)).drop("__x", "__forest")
+
+
 def normalize_scores(scored: DataFrame, raw: str = "iforest_raw_score", score: str = "iforest_score",
                      flag: str = "iforest_flag", label: str = "risk_severity",
                      split: str = "dataset_split") -> DataFrame:

@@ -381,7 +381,9 @@ SELECT CAST(doc_id AS VARCHAR) AS id, make_timestamp(2024, 1, doc_id % 30 + 1, d
   c AS bcc_recipient_count, a + b + c AS total_recipient_count, CASE WHEN b > 0 THEN 1 ELSE 0 END AS has_cc,
   CASE WHEN c > 0 THEN 1 ELSE 0 END AS has_bcc, CAST(length(content) AS INTEGER) AS content_length_chars,
   CAST(CASE WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, ' ', '')) + 1 END AS INTEGER) AS content_length_words,
-  content FROM (SELECT *, {items("replace(text, '.', ';')")} AS a, {items("replace(text, ',', ';')")} AS b,
+  content, lower(trim(replace(text, '.', ';'), {_TRIM})) AS "to", lower(trim(replace(text, ',', ';'), {_TRIM})) AS cc,
+  CASE WHEN doc_id % 2 = 0 THEN lower(trim(replace(text, '?', ';'), {_TRIM})) ELSE '' END AS bcc
+  FROM (SELECT *, {items("replace(text, '.', ';')")} AS a, {items("replace(text, ',', ';')")} AS b,
   CASE WHEN doc_id % 2 = 0 THEN {items("replace(text, '?', ';')")} ELSE 0 END AS c, {_CONTENT} AS content FROM documents)
 WHERE n_chars BETWEEN 100 AND 12000""",
     "clean_logon": f"""SELECT {_CLOCKED}, {_ACTIVITY} AS activity,
@@ -552,7 +554,7 @@ WHERE n_chars BETWEEN 100 AND 12000""",
     "stream_user_day": """SELECT "user", day AS email_day, count(*) FILTER (activity = 'Logon') AS logon_count,
   count(*) FILTER (activity = 'Logoff') AS logoff_count, count(*) FILTER (activity = 'Logon' AND is_after_hours = 1) AS after_hours_logons,
   count(*) FILTER (activity = 'Connect') AS usb_connect_count, count(*) FILTER (activity = 'Disconnect') AS usb_disconnect_count,
-  count(*) FILTER (activity = 'File Write') AS file_write_count FROM {acts} GROUP BY 1, 2""",
+  count(*) FILTER (activity = 'File Write') AS file_write_count, count(DISTINCT pc) AS unique_pcs FROM {acts} GROUP BY 1, 2""",
     "stream_sensitivity": """SELECT "user", email_day, CAST(sum(event_score) AS BIGINT) AS sum_score, max(event_score) AS max_score,
   count(*) FILTER (event_score >= 2) AS sensitive_count, count(*) FILTER (event_score = 3) AS restricted_count,
   count(*) AS total_events FROM {msgs} WHERE event_score > 0 GROUP BY 1, 2""",
@@ -580,6 +582,23 @@ BODIES["run_summary"] = " UNION ALL ".join([
     "SELECT 'psychometric' AS section, 'rows' AS metric, CAST(count(*) AS VARCHAR) AS value FROM customer",
     *[_counters("user_day_totals", "{%s_ud}" % k, {f"{k}_user_days": "count(*)"}) for k in ("email", "logon", "device", "file")],
     _counters("user_days", "{uds}", {"rows": "count(*)", "users": 'count(DISTINCT "user")', "trait_matches": "count(o)", **_SPLIT_ROWS})])
+BODIES["stream_user_day_state"] = BODIES["stream_user_day"]
+_SHARES = ("0.01", "0.25", "0.5", "0.93", "0.95", "0.99")
+BODIES["sketch_quantiles"] = " UNION ALL ".join(
+    f"SELECT CAST({q} AS DOUBLE) AS share, count(*) AS rows, true AS within FROM events WHERE value IS NOT NULL" for q in _SHARES)
+BODIES["fixed_tree_scores"] = """SELECT event_id, round(pow(2, -(
+    CASE WHEN user_id <= 40 THEN CASE WHEN value <= 25 THEN 3.0 ELSE 2.5 END ELSE 1.0 END
+  + CASE WHEN value <= 100 THEN 2.0 ELSE CASE WHEN user_id <= 10 THEN 1.5 ELSE CASE WHEN value <= 200 THEN 4.25 ELSE 3.0 END END END)
+  / 2 / (2 * (ln(255) + 0.5772156649015329) - 2 * CAST(255 AS DOUBLE) / 256)), 6) AS score FROM events"""
+BODIES["csv_round_trip"] = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, 'a "quoted", ' || chr(10) || c_mktsegment AS c_note FROM customer"""
+BODIES["csv_tolerant"] = """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment
+  FROM customer WHERE c_custkey % 7 <> 0"""
+BODIES["optional_source"] = """SELECT CAST(NULL AS VARCHAR) AS decoy_filename, CAST(NULL AS VARCHAR) AS pc FROM region WHERE false
+  UNION ALL SELECT r_name, CAST(r_regionkey AS VARCHAR) FROM region"""
+BODIES["day_partitions"] = 'SELECT id, day, "user", activity FROM {acts} WHERE day >= DATE \'2024-01-05\''
+BODIES["scored_table"] = "SELECT * REPLACE (" + r6("score") + ") FROM {ds}"
+BODIES["report_lines"] = " UNION ALL ".join(_counters("events", "events", {m: e}) for m, e in (
+    ("rows", "count(*)"), ("users", "count(DISTINCT user_id)"), ("kinds", "count(DISTINCT event_type)")))
 BODIES["late_days"] = 'SELECT id, date, day, "user", activity, cents FROM {acts}'
 BODIES["bucketed_user_days"] = BODIES["user_day_join"]
 BODIES["carried_ids"] = BODIES["clean_logon"]

@@ -7,15 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardlight import fixed
+from wardlight import fixed, schemas
 from wardlight.functions import rules, text
 from wardlight.operators import (carried, clean, features, forest, metrics, order_stats, reports, risk, scaling,
-                                 search, sensitivity, signals, splits, topk, truth, windows)
+                                 search, sensitivity, signals, sketches, splits, topk, truth, windows)
 from wardlight.plans import full_run, roles
 from wardlight.sources import layout, readers, sinks
 from wardlight.sources.stage import shared_root, stage
 from wardlight.sources.summary import RunSummary, rows_and_days, split_rows
-from wardlight.streaming import logs
+from wardlight.streaming import logs, pcs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +35,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def clean_email(spark, folder):
-    return clean.clean_email(roles.raw_emails(spark, folder)).drop("to", "cc", "bcc")
+    return clean.clean_email(roles.raw_emails(spark, folder))
 
 
 @query
@@ -548,6 +548,88 @@ def interval_days(spark, folder):
     return marked.select("user", "email_day", "is_insider")
 
 
+@query
+def csv_round_trip(spark, folder):
+    """Customers written as CSV with quotes, commas and line breaks, and read back as text."""
+    rows = roles.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias(" C_Custkey"), F.col("c_name").alias("c_name "), F.concat(F.lit('a "quoted", \n'), "c_mktsegment").alias("C_note"))
+    path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex}"
+    rows.write.options(header=True, quote='"', escape='"').csv(path)
+    return readers.read_csv(spark, path, multiline=True)
+
+
+@query
+def csv_tolerant(spark, folder):
+    """Lines with too many fields are dropped, short ones padded."""
+    key = F.col("c_custkey")
+    fields = F.when(key % 7 == 0, F.concat_ws(",", key, "c_name", "c_mktsegment", F.lit("more"))).when(
+        key % 5 == 0, F.concat_ws(",", key, "c_name")).otherwise(F.concat_ws(",", key, "c_name", "c_mktsegment"))
+    path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex}"
+    lines = roles.table(spark, folder, "customer").select(fields.alias("key,name,segment"))
+    lines.write.option("header", True).option("sep", "\u0001").csv(path)
+    return readers.read_csv(spark, path, tolerant=True).select("key", "name", "segment")
+
+
+@query
+def optional_source(spark, folder):
+    """A source that is not there counts as empty."""
+    root = f"{shared_root(spark)}/csv-{uuid.uuid4().hex}"
+    roles.table(spark, folder, "region").select(F.col("r_name").alias("decoy_filename"), F.col("r_regionkey").alias("pc")).write.option("header", True).csv(root)
+    readers.require_inputs(spark, {"decoy": root})
+    absent = readers.read_optional_csv(spark, f"{root}-none", schemas.DECOY)
+    return absent.unionByName(readers.require_columns(readers.read_optional_csv(spark, root, schemas.DECOY), schemas.DECOY, "decoys"))
+
+
+@query
+def day_partitions(spark, folder):
+    """Activity written by day; the days read back are chosen by their folders."""
+    path = f"{shared_root(spark)}/days-{uuid.uuid4().hex}"
+    sinks.write_by_day(roles.activity(spark, folder), path)
+    return spark.read.parquet(path).where(F.col("day") >= F.lit("2024-01-05").cast("date")).select("id", "day", "user", "activity")
+
+
+@query
+def scored_table(spark, folder):
+    path = f"{shared_root(spark)}/scored-{uuid.uuid4().hex}"
+    sinks.write_table(roles.day_scores(spark, folder), path)
+    return rounded(spark.read.parquet(path))
+
+
+@query
+def report_lines(spark, folder):
+    """A one-row report written as JSON lines and read back."""
+    path = f"{shared_root(spark)}/report-{uuid.uuid4().hex}"
+    events = roles.table(spark, folder, "events")
+    sinks.write_report({"events": events.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("users"),
+                                             F.countDistinct("event_type").alias("kinds"))}, path)
+    return spark.read.schema("section string, metric string, value string").json(path)
+
+
+@query
+def sketch_quantiles(spark, folder):
+    """Whether the thresholds from stored daily sketches lie within the stated rank error of the exact ranks."""
+    events = roles.table(spark, folder, "events")
+    shares = (0.01, 0.25, 0.5, 0.93, 0.95, 0.99)
+    daily = stage(sketches.day_sketches(events.withColumn("day", F.to_date("ts")), "value", "day"), "day-sketches")
+    found = sketches.thresholds(daily, shares).select("rows", F.posexplode(F.array(*[f"q{i}" for i in range(len(shares))])).alias("i", "cut"))
+    ranks = events.where("value IS NOT NULL").join(F.broadcast(found)).groupBy("i", "rows").agg(
+        F.count_if(F.col("value") < F.col("cut")).alias("below"), F.count_if(F.col("value") <= F.col("cut")).alias("upto"))
+    share, slack = F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1), sketches.RANK_ERROR
+    within = (F.col("below") <= (share + slack) * F.col("rows")) & (F.col("upto") >= (share - slack) * F.col("rows"))
+    return ranks.select(share.alias("share"), "rows", within.alias("within"))
+
+
+@query
+def fixed_tree_scores(spark, folder):
+    """Scores of a fixed node table of two trees, walked inside the JVM."""
+    nodes = spark.createDataFrame([
+        (0, 0, 0, 40.0, 1, 2, 0.0), (0, 1, 1, 25.0, 3, 4, 0.0), (0, 2, -1, 0.0, 2, 2, 1.0), (0, 3, -1, 0.0, 3, 3, 3.0), (0, 4, -1, 0.0, 4, 4, 2.5),
+        (1, 0, 1, 100.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 2.0), (1, 2, 0, 10.0, 3, 4, 0.0), (1, 3, -1, 0.0, 3, 3, 1.5),
+        (1, 4, 1, 200.0, 5, 6, 0.0), (1, 5, -1, 0.0, 5, 5, 4.25), (1, 6, -1, 0.0, 6, 6, 3.0)], forest.NODE_SCHEMA)
+    scored = forest.walk_forest(roles.table(spark, folder, "events"), nodes, ["user_id", "value"], 256, "score")
+    return rounded(scored.select("event_id", "score"))
+
+
 # --- models -----------------------------------------------------------------------------------------
 
 @query
@@ -600,8 +682,15 @@ def stream_dedupe(spark, folder):
 
 @query
 def stream_user_day(spark, folder):
-    table = logs.run_to_table(logs.user_day_counts(activity_stream(spark, folder)), "user-days", ("user", "email_day"))
-    return table.drop("approx_pcs")
+    parts = logs.user_day_parts(activity_stream(spark, folder))
+    return logs.fold_user_days(logs.run_to_table(parts, "user-days", ("user", "email_day", "pc")))
+
+
+@query
+def stream_user_day_state(spark, folder):
+    """The same counts from a stream with a map of pcs per open user-day."""
+    with pcs.rocks(spark):
+        return logs.run_to_table(pcs.user_day_exact(activity_stream(spark, folder)), "user-day-state", ("user", "email_day"))
 
 
 @query

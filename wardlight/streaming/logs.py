@@ -13,6 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlight.operators.features import LOGS
 from wardlight.sources.stage import shared_root
+from wardlight.streaming.snapshots import SnapshotTable
+
+SUMS = {**LOGS["logon"].sums, **LOGS["device"].sums, "file_write_count": LOGS["file"].sums["file_write_count"]}
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -32,18 +35,21 @@ def clean_stream(raw: DataFrame, cleaner, delay: str = "1 day") -> DataFrame:
     return dedupe_stream(cleaner(raw), "id", "date", delay)
 
 
-def user_day_counts(events: DataFrame, date: str = "date", delay: str = "1 day") -> DataFrame:
-    """Logon, device and file counts per (user, day) of a stream of cleaned activity.
+def user_day_parts(events: DataFrame, date: str = "date", delay: str = "1 day") -> DataFrame:
+    """Logon, device and file counts per (user, day, pc) of a stream of cleaned activity.
 
-    Distinct pcs are approximate here: exact distinct counts need unbounded state.
+    `fold_user_days` adds the parts up and counts the pcs, so distinct pcs are exact and the state
+    has one small row per user, open day and pc; a user on many pcs is many keys.
     """
-    sums = {**LOGS["logon"].sums, **LOGS["device"].sums,
-            "file_write_count": LOGS["file"].sums["file_write_count"]}
     timed = events.withColumn(date, F.col(date).cast("timestamp")).withWatermark(date, delay)
-    return timed.groupBy(F.window(date, "1 day").alias("w"), "user").agg(
-        *[F.sum(F.expr(e)).alias(n) for n, e in sums.items()],
-        F.approx_count_distinct("pc").alias("approx_pcs"),
-    ).select("user", F.to_date("w.start").alias("email_day"), *sums, "approx_pcs")
+    return timed.groupBy(F.window(date, "1 day").alias("w"), "user", "pc").agg(
+        *[F.sum(F.expr(e)).alias(n) for n, e in SUMS.items()],
+    ).select("user", F.to_date("w.start").alias("email_day"), "pc", *SUMS)
+
+
+def fold_user_days(parts: DataFrame) -> DataFrame:
+    """The user-days of stored parts, with the exact number of distinct pcs."""
+    return parts.groupBy("user", "email_day").agg(*[F.sum(n).alias(n) for n in SUMS], F.count("pc").alias("unique_pcs"))
 
 
 def sensitivity_totals(scored: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -60,27 +66,18 @@ def sensitivity_totals(scored: DataFrame, delay: str = "1 day") -> DataFrame:
         F.count_if(tier > 0).alias("total_events")).where("max_score > 0").drop("w")
 
 
-def start_table(df: DataFrame, path: str, name: str, mode: str = "append") -> StreamingQuery:
-    """Run over what is available now into a Parquet table, with its checkpoint beside
-    the other state of the cluster.
+def start_table(df: DataFrame, path: str, name: str, keys: tuple[str, ...] = ()) -> StreamingQuery:
+    """Run over what is available now into a table, with its checkpoint beside the other state of the cluster.
 
-    `append` results go through the exactly-once file sink. Of `update` results every batch
-    writes the changed keys only, to a folder of its own that a repeated batch replaces;
-    `newest` reads them.
+    Without keys rows are appended through the exactly-once file sink. With keys every batch
+    updates their last state in a `SnapshotTable`.
     """
-    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option(
+    writer = df.writeStream.outputMode("update" if keys else "append").trigger(availableNow=True).option(
         "checkpointLocation", f"{path}/_state")
-    if mode == "append":
+    if not keys:
         return writer.format("parquet").option("path", f"{path}/{name}").start()
-    return writer.foreachBatch(
-        lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")).start()
-
-
-def newest(spark: SparkSession, path: str, schema, keys: tuple[str, ...]) -> DataFrame:
-    """The last state of every key of an `update` table."""
-    rows = spark.read.schema(f"{schema.toDDL()}, batch long").parquet(path)
-    values = F.struct(*[c for c in schema.names if c not in keys])
-    return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("last")).select(*keys, "last.*").select(*schema.names)
+    table = SnapshotTable(df.sparkSession, f"{path}/{name}", df.schema, keys)
+    return writer.foreachBatch(table.add).start()
 
 
 def run_to_table(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -90,10 +87,7 @@ def run_to_table(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFr
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    start_table(df, path, name, keys).awaitTermination()
     if not keys:
-        start_table(df, path, name).awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-    # An empty first batch, so that a stream without rows still leaves a table.
-    spark.createDataFrame([], df.schema).write.parquet(f"{path}/{name}/batch=-1")
-    start_table(df, path, name, "update").awaitTermination()
-    return newest(spark, f"{path}/{name}", df.schema, keys)
+    return SnapshotTable(spark, f"{path}/{name}", df.schema, keys).read()
