@@ -4,7 +4,8 @@ from collections import defaultdict
 
 import pytest
 from conftest import SF_DIR
-from test_native_ops import (components, contamination, edit, fingerprint, line_ok, lines_of, odd, quality_of, split)
+from test_native_ops import contamination, edit, line_ok, lines_of, odd, quality_of, split
+from test_near_copies import firsts
 
 import corpus_pipeline
 from wardlight.llm import mixing
@@ -55,7 +56,7 @@ def test_line_stage(stored):
     for x in places:
         by_size[len(x)].append(x)
     for n, own in by_size.items():
-        if n >= 30:
+        if n >= 20:
             for other in (x for m in (n, n + 1, n + 2) for x in by_size.get(m, ())):
                 for x in own:
                     if x < other or len(other) > n:
@@ -73,8 +74,7 @@ def test_line_stage(stored):
 
 def test_near_duplicate_stage(stored):
     before, after = texts(stored[2]), texts(stored[3])
-    groups = components({i: fingerprint(t) for i, t in before.items()})
-    assert set(after) == set(groups.values()) and all(after[i] == before[i] for i in after)
+    assert set(after) == firsts(before.items()) and all(after[i] == before[i] for i in after)
 
 
 def test_decontamination_stage(spark, stored):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm.common import stage
+from wardlight.sources.stage import drop_stage
 
 
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,6 +22,7 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     both = stage(pairs.union(pairs.select("other", "node")).distinct(), "links")
     labels = stage(both.groupBy("node").agg(F.min("other").alias("near")).select(
         "node", F.least("node", "near").alias("root")), "labels")
+    held = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
             F.min("root").alias("near"))
@@ -29,6 +31,8 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         moved = stage(step.join(jump, "root", "left").select(
             "node", "was", F.least("root", "far").alias("root")), "labels")
-        labels = moved.select("node", "root")
+        drop_stage(held)
+        held, labels = moved, moved.select("node", "root")
         if moved.where(F.col("was") != F.col("root")).isEmpty():
+            drop_stage(both)
             return labels
