@@ -113,3 +113,16 @@ def test_lenient_double_takes_decimals_only(make):
     rows = [("1.5", 1.5), (" -2e3 ", -2000.0), (".5", 0.5), ("7.", 7.0), ("1d", None), ("2f", None), ("0x1p3", None), ("", None), (None, None), ("1,5", None)]
     df = make(rows, "t string, want double")
     assert df.where(~text.lenient_double("t").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_first_letter_lookahead_keeps_every_rule(spark):
+    """Words found by the joined pattern are those of the plain rules, with letters that may be absent."""
+    import re
+
+    odd = ((3, r"\bab?c\b|\bxyz\w+\b"), (1, r"\bq*rs\b|\bno.?go\b"))
+    texts = ["ac", "abc", "abbc", "xyz", "xyzz", "rs", "no-go", "nogo", "noo", "a c", "unabc", "passwords", "a password.", None]
+    for case in (odd, rules.fixed.KEYWORD_RULES):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.keyword_tier("t", case).alias("x")).collect()
+        for row in got:
+            want = max([tier for tier, p in case if row["t"] and re.search(p, row["t"])], default=0)
+            assert row["x"] == want, row

@@ -14,16 +14,19 @@ def tier_pattern(patterns) -> str:
     r"""Join the patterns of one tier into a single Java regular expression.
 
     When every alternative is a whole word (`\b...\b`, starting with a plain letter)
-    the word boundaries are taken out of the alternation and guarded by a
-    first-letter lookahead: most positions are then rejected by one character test.
+    the word boundaries are taken out of the alternation and guarded by a lookahead
+    for the first letters: most positions are then rejected by plain character tests,
+    before the costlier test for a Unicode word boundary.
     `(?U)` gives Unicode word characters, `(?d)` lets `.` exclude only `\n`.
     """
     parts = [alt for p in patterns for alt in p.split("|")]
     whole = [re.fullmatch(r"\\b([a-z].*)\\b", alt) for alt in parts]
     if all(whole) and not any(ch in p for p in patterns for ch in "()["):
         words = [m.group(1) for m in whole]
-        first = "".join(sorted({w[0] for w in words}))
-        return rf"(?Ud)(?=[{first}])\b(?:{'|'.join(words)})\b"
+        # A letter that may be absent ends the head before it.
+        heads = [re.match("(?:[a-z](?![?*{])){0,3}", w).group() for w in words]
+        classes = "".join(f"[{''.join(sorted({h[i] for h in heads}))}]" for i in range(min(map(len, heads))))
+        return rf"(?Ud)(?={classes})\b(?:{'|'.join(words)})\b"
     return "(?Ud)" + "|".join(f"(?:{p})" for p in patterns)
 
 

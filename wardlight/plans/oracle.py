@@ -229,17 +229,17 @@ PARTS["risk"] = "SELECT *, " + " + ".join(
     + f"), ''), '{fixed.NO_FLAG_TEXT}') AS explanation FROM {{norm}}")
 
 PARTS["msgs"] = f"""
-SELECT source AS "user", {_DAY30} AS email_day, least({keyword('text', LEXICON)} +
+SELECT source AS "user", {_DAY30} AS email_day, least({keyword('content', fixed.KEYWORD_RULES)} +
   CASE WHEN doc_id % 2 = 1 AND length(text) - length(replace(text, ' ', '')) + 1 > 500 THEN 1 ELSE 0 END, 3) AS event_score
-FROM documents"""
+FROM (SELECT *, text || ' ' || {pick(PLANTED, 'doc_id')} AS content FROM documents)"""
 PARTS["docfiles"] = f"""
 SELECT doc_id, source AS "user", {_DAY30} AS email_day, 'doc_' || doc_id || {pick(SUFFIXES, 'doc_id')} AS filename,
-  {pick(PREFIXES, 'doc_id')} || ' ' || text AS content, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS is_write,
+  {pick(PREFIXES, 'doc_id')} || ' ' || text || ' ' || {pick(PLANTED, 'doc_id')} AS content, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS is_write,
   CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS to_removable_media,
   CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS from_removable_media FROM documents"""
 PARTS["filescores"] = (
     f"SELECT doc_id, \"user\", email_day, "
-    f"{file_score(extension('filename'), 'greatest(' + signature('content') + ', ' + keyword('content', LEXICON) + ')')}"
+    f"{file_score(extension('filename'), 'greatest(' + signature('content') + ', ' + keyword('content', fixed.KEYWORD_RULES) + ')')}"
     " AS event_score FROM {docfiles}")
 PARTS["sd"] = """
 SELECT "user", email_day, round_even(sum(event_score) / count(*), 4) AS sensitivity_score,

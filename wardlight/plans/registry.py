@@ -193,13 +193,13 @@ def signature_tier(spark, folder):
 
 @query
 def email_sensitivity(spark, folder):
-    scored = sensitivity.score_email(roles.message_events(spark, folder), roles.LEXICON)
+    scored = sensitivity.score_email(roles.message_events(spark, folder))
     return scored.groupBy("user", "email_day", "event_score").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query
 def file_sensitivity(spark, folder):
-    score = sensitivity.file_event_score(roles.file_events(spark, folder), roles.LEXICON)
+    score = sensitivity.file_event_score(roles.file_events(spark, folder))
     return roles.file_events(spark, folder).select("doc_id", score.alias("event_score"))
 
 
@@ -698,9 +698,9 @@ def stream_sensitivity(spark, folder):
     docs = logs.read_parquet_stream(spark, folder, "documents.parquet")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
     events = docs.select(
-        F.col("source").alias("user"), day.alias("email_day"), F.col("text").alias("content"),
+        F.col("source").alias("user"), day.alias("email_day"), roles.planted("text").alias("content"),
         (F.col("doc_id") % 2).cast("int").alias("has_attachment"),
         roles.spaced_words("text").alias("content_length_words"))
     # The days repeat every 30 rows, so all of them stay open.
-    totals = logs.sensitivity_totals(sensitivity.score_email(events, roles.LEXICON), "30 days")
+    totals = logs.sensitivity_totals(sensitivity.score_email(events), "30 days")
     return logs.run_to_table(totals, "sensitivity", ("user", "email_day"))

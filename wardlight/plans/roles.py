@@ -135,13 +135,18 @@ def spaced_words(c) -> F.Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "))) + 1
 
 
+def planted(text) -> F.Column:
+    """The whole text and a planted phrase, chosen by doc_id."""
+    return F.concat(text, F.lit(" "), pick(PLANTED, F.col("doc_id")))
+
+
 def message_events(spark, folder) -> DataFrame:
-    """`documents` as cleaned email events with whole-text content."""
+    """`documents` as cleaned email events with whole-text content and a planted phrase."""
     doc = F.col("doc_id")
     return table(spark, folder, "documents").select("doc_id", "source", "text").select(
         F.col("source").alias("user"),
         F.date_add(F.lit("2024-01-01").cast("date"), (doc % 30).cast("int")).alias("email_day"),
-        doc, F.col("text").alias("content"), (doc % 2).cast("int").alias("has_attachment"),
+        doc, planted("text").alias("content"), (doc % 2).cast("int").alias("has_attachment"),
         spaced_words("text").alias("content_length_words"))
 
 
@@ -152,21 +157,20 @@ def file_events(spark, folder) -> DataFrame:
         F.col("source").alias("user"),
         F.date_add(F.lit("2024-01-01").cast("date"), (doc % 30).cast("int")).alias("day"), doc,
         F.concat(F.lit("doc_"), doc.cast("string"), pick(SUFFIXES, doc)).alias("filename"),
-        F.concat(pick(PREFIXES, doc), F.lit(" "), F.col("text")).alias("content"),
+        F.concat(pick(PREFIXES, doc), F.lit(" "), planted("text")).alias("content"),
         (doc % 3 == 0).cast("int").alias("is_write"), (doc % 4 == 0).cast("int").alias("to_removable_media"),
         (doc % 5 == 0).cast("int").alias("from_removable_media"))
 
 
 def planted_text(spark, folder) -> DataFrame:
     """`documents` with one planted phrase each (whole text kept)."""
-    return table(spark, folder, "documents").select("doc_id", "text").select(
-        "doc_id", F.concat(F.col("text"), F.lit(" "), pick(PLANTED, F.col("doc_id"))).alias("content"))
+    return table(spark, folder, "documents").select("doc_id", "text").select("doc_id", planted("text").alias("content"))
 
 
 def daily_sensitivity(spark, folder) -> DataFrame:
     return sensitivity.sensitivity_daily(
-        sensitivity.score_email(message_events(spark, folder), LEXICON),
-        sensitivity.score_file(file_events(spark, folder), LEXICON))
+        sensitivity.score_email(message_events(spark, folder)),
+        sensitivity.score_file(file_events(spark, folder)))
 
 
 def activity_sensitivity(spark, folder) -> DataFrame:
@@ -175,7 +179,7 @@ def activity_sensitivity(spark, folder) -> DataFrame:
         "user", "day", F.concat(F.lit("f"), pick(SUFFIXES, F.col("id"))).alias("filename"),
         F.lit("").alias("content"), (F.col("activity") == "File Write").cast("int").alias("is_write"),
         "to_removable_media", "from_removable_media")
-    return sensitivity.sensitivity_user(sensitivity.sensitivity_daily(sensitivity.score_file(rows, LEXICON)))
+    return sensitivity.sensitivity_user(sensitivity.sensitivity_daily(sensitivity.score_file(rows)))
 
 
 # --- user-days, scores, labels -------------------------------------------------------
