@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_every_sql_belongs_to_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert set(driver.QUERIES) - set(driver.ORACLE) == {
-        "weight_search", "iforest_scores", "iforest_embeddings", "recon_scores"}
+        "weight_search", "iforest_scores", "iforest_embeddings", "recon_scores", "window_network_scores"}
 
 
 def test_entry(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardlight import fixed, schemas
 from wardlight.functions import rules, text
 from wardlight.operators import (carried, clean, features, forest, metrics, order_stats, reports, risk, scaling,
-                                 search, sensitivity, signals, sketches, splits, topk, truth, windows)
+                                 search, sensitivity, signals, sketches, splits, topk, truth, window_network, windows)
 from wardlight.plans import full_run, roles
 from wardlight.sources import layout, readers, sinks
 from wardlight.sources.stage import shared_root, stage
@@ -656,6 +656,13 @@ def recon_scores(spark, folder):
         "user", "email_day", "dataset_split", "lstm_raw_error", "lstm_score", "lstm_flag", "lstm_risk_severity")
 
 
+@query
+def window_network_scores(spark, folder):
+    days = stage(roles.user_days(spark, folder), "user-days")
+    return window_network.score_windows(days).select(
+        "user", "email_day", "dataset_split", "lstm_raw_error", "lstm_score", "lstm_flag", "lstm_risk_severity")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 def activity_stream(spark, folder) -> DataFrame:
