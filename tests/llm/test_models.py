@@ -155,10 +155,19 @@ def test_archives(spark):
             f.seek(offset)
             assert f"WARC-Record-ID: <urn:page:{page}>".encode() in gzip.decompress(f.read(length))
     history = warc_index.capture_history(table)
-    assert history.count() == len(want)
+    placed = sorted((r["place"], r["urlkey"], r["capture_time"], r["page_id"] is None, r["page_id"] or 0) for r in history.collect())
+    assert [x[0] for x in placed] == list(range(1, len(want) + 1))
+    assert [x[1:] for x in placed] == sorted(x[1:] for x in placed)
     assert not warc_index.capture_history(table.where("false")).collect()
 
 
+def test_archives_take_other_columns(spark):
+    rows = [(1, "http://a.example.com/", "x" * 200, "k", 7), (2, "http://a.example.com/", "x" * 200, "k", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, urlkey string, place int")
+    got = {r["page_id"]: (r["urlkey"], r["place"], r["refers_to"]) for r in warc_index.capture_history(pages).collect()}
+    assert got == {1: ("com,example,a)/", 1, None), 2: ("com,example,a)/", 2, 1)}
+
+
 def test_url_key():
     assert warc_index.url_key("https://Blog.Example.com/A?b=1#c") == "com,example,blog)/a?b=1"
     assert warc_index.url_key(None) == ")/" and warc_index.url_key("http://[bad").startswith("~")

@@ -12,11 +12,18 @@ _LINE_WORDS = r"len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))"
 _STRIPPED = r"regexp_replace({}, '[\x20\x09-\x0D]', '', 'g')"
 
 OP2 = r"""
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
-SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  trim(coalesce(url, '')) AS url FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least,
+  list_reverse(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.')) AS labels,
+  string_split(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#')[1] AS rest FROM p),
+k AS (SELECT *, lower(array_to_string(labels, ',') || ')' || CASE WHEN rest = '' OR rest[1] = '?' THEN '/' ELSE '' END
+  || CASE WHEN rest[-1] = '?' THEN rest[:-2] ELSE rest END) AS urlkey,
+  strftime(make_timestamp((946684800 + coalesce(page_id, 0) % 700000000) * 1000000), '%Y%m%d%H%M%S') AS capture_time FROM q)
+SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to FROM q
+  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to, urlkey, capture_time,
+  row_number() OVER (ORDER BY urlkey, capture_time, page_id NULLS LAST) AS place FROM k
 """
 
 OP3 = rf"""

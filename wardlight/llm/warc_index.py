@@ -14,14 +14,17 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wardlight.llm.common import present, stage
 from wardlight.sources.stage import shared_root
 
 #: Production parameters.
 REVISIT_BYTES = 100             # smaller payloads are always stored whole
-RUN_BYTES = 32 << 20            # payload bytes per archive file and run, about
+RUN_BYTES = 256 << 20           # stored bytes per archive file and run, about
+RANGE_LINES = 50_000            # index lines that one merging task holds, about
+RANGES = 16                     # ranges of a small index
+READ_TASKS = 20_000             # most tasks that read archives
 
 INDEX = "run string, urlkey string, ts string, page_id long, offset long, length long, seq int, spot int"
 RECORD = ("run string, seq int, page_id long, url string, ts string, record_type string, payload_bytes long, payload_digest string, "
@@ -97,8 +100,13 @@ def classify(pages: DataFrame, page: str = "page_id", url: str = "url", html: st
 
 
 def capture_time(page_id: Column) -> Column:
-    """14-digit time of a capture; tables without one count seconds from the year 2000 by id."""
-    return F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce(page_id, F.lit(0)) % 700000000), "yyyyMMddHHmmss")
+    """14-digit time of a capture; tables without one count seconds from the year 2000 by id.
+
+    Without a time zone, so the session's does not matter.
+    """
+    seconds = (F.coalesce(page_id, F.lit(0)) % 700000000).cast("int")
+    when = F.timestamp_add("SECOND", seconds, F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.translate(when.cast("string"), "-: ", "")
 
 
 def _record(r) -> bytes:
@@ -120,7 +128,7 @@ def _record(r) -> bytes:
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write record members into archive files under `folder`; returns the stored index runs.
 
-    A task rolls to a new file after RUN_BYTES of payload and sorts that file's index lines: one
+    A task rolls to a new file after RUN_BYTES of records and sorts that file's index lines: one
     run. File names are unique to the attempt and only a committed attempt's lines name
     them, so a file left by a lost executor is never read.
     """
@@ -145,7 +153,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 page = None if pd.isna(r.page_id) else int(r.page_id)
                 lines.append((name, url_key(r.url), r.ts, page, at, len(member), len(lines)))
                 at += len(member)
-                size += int(r.payload_bytes) if r.payload is not None else 0
+                size += len(member)
                 if size >= RUN_BYTES:
                     out.close()
                     yield run()
@@ -160,10 +168,13 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 def merge_index(runs: DataFrame) -> DataFrame:
     """All index lines in global order: (range, place) ascend with (urlkey, ts, page_id).
 
-    Ranges are cut on the whole key, so a hot URL spans ranges. A range's slice of every run
-    is put back in run order and merged by the loser tree.
+    Ranges are cut on the whole order, so a hot URL, and even repeats of one capture, span ranges,
+    and a task holds about RANGE_LINES lines at any table size. A range's slice of every run is put
+    back in run order and merged by the loser tree.
     """
-    ranged = runs.repartitionByRange("urlkey", "ts", F.col("page_id").asc_nulls_last()).sortWithinPartitions("run", "spot")
+    ranges = max(RANGES, -(-runs.count() // RANGE_LINES))
+    ranged = runs.repartitionByRange(
+        ranges, "urlkey", "ts", F.col("page_id").asc_nulls_last(), "run", "spot").sortWithinPartitions("run", "spot")
 
     def merge(batches):
         slices: dict[str, list] = {}
@@ -230,7 +241,15 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
     # A list of names is tiny, so adaptive execution would read all archives in one task.
     names = index.select("run").distinct()
-    return names.repartition(max(1, names.count()), "run").mapInPandas(read, RECORD)
+    return names.repartition(min(READ_TASKS, max(1, names.count())), "run").mapInPandas(read, RECORD)
+
+
+def _with_scheme(spark: SparkSession, path: str) -> str:
+    """`path` on the file system that Spark itself writes it to."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    found = urlsplit(stage(spark.range(1), "file-system").inputFiles()[0])
+    return f"{found.scheme}://{found.netloc}{path}"
 
 
 def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame, str]:
@@ -242,8 +261,7 @@ def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     empty table writes nothing. Other columns are ignored.
     """
     spark = pages.sparkSession
-    folder = f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
-    folder = folder if ":" in folder else f"file://{folder}"
+    folder = f"{_with_scheme(spark, shared_root(spark))}/warc-{uuid.uuid4().hex}"
     records = classify(pages, page, url, html).withColumn("ts", capture_time(F.col("page_id")))
     runs = write_archives(records.select("page_id", "url", "ts", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"), folder)
     return merge_index(runs), read_archives(runs, folder), folder
@@ -252,9 +270,14 @@ def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
 def capture_history(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per record in the archives, with its place in the globally ordered index.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, ts, range, place.
+    page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, capture_time and
+    place (from 1, by urlkey, capture_time and page_id, nulls last).
     """
     index, records, _ = archive(pages, page, url, html)
     order = stage(index.select("run", "seq", "urlkey", "ts", "range", "place"), "capture-index")
-    return records.drop("payload", "url", "ts").join(order, ["run", "seq"]).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "range", "place")
+    sizes = order.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row per range
+    placed = order.join(before, "range").select(
+        "run", "seq", "urlkey", F.col("ts").alias("capture_time"), (F.col("before") + F.col("place") + 1).alias("place"))
+    return records.drop("payload", "url", "ts").join(placed, ["run", "seq"]).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_time", "place")
