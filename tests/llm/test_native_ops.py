@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -53,9 +54,13 @@ def quality_of(text):
             len(lines) - len(set(lines)), len(hit), failed)
 
 
-def line_ok(line):
+END = r"[.!?…:;][\"'”’»)\]]*[\x20\x09-\x0D]*\Z"
+
+
+def line_ok(line, after=""):
     words = split(line)
-    ends = re.search(r"[.!?…:;][\"'”’»)\]]*[\x20\x09-\x0D]*\Z", line) or len(words) > quality_lines.MENU_WORDS
+    wrapped = len(line) >= 40 and split(after) and (len(after) >= 40 or re.search(END, after))
+    ends = re.search(END, line) or len(words) > quality_lines.MENU_WORDS or wrapped
     loud = len(re.findall(r"(?:[#*$%&|<>]|!!|\?\?)[.,]?(?:[\x20\x09-\x0D]|\Z)", line))
     menu = sum(c in quality_lines.MENU_MARKS for c in line)
     return bool(ends) and loud <= 0.3 * len(words) and 3 * menu < len(words) and not re.search(quality_lines.FURNITURE, line)
@@ -66,7 +71,8 @@ def test_quality(spark, docs):
         for r in quality_lines.line_quality(table).collect():
             got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"])
             assert got == quality_of(r["text"])
-            kept = [x for x in (r["text"] or "").split("\n") if not split(x) or line_ok(x)]
+            every = (r["text"] or "").split("\n")
+            kept = [x for x, y in zip(every, every[1:] + [""]) if not split(x) or line_ok(x, y)]
             assert r["cleaned"] == "\n".join(kept)
             left = sum(map(len, split("\n".join(kept))))
             assert r["kept"] == (not got[-1] and 1 - left / got[1] <= quality_lines.MAX_LOST)
@@ -81,6 +87,17 @@ def test_quality_cleans(spark):
     assert got[1]["cleaned"] == prose and got[2]["cleaned"] == prose
 
 
+def test_quality_wrapped(spark, docs):
+    """Clean texts stay clean when their lines are broken at 72 columns; short menus still go."""
+    kept = [r["text"] for r in quality_lines.line_quality(docs).where("kept").select("text").collect()]
+    broken = ["\n".join(y for x in t.split("\n") for y in textwrap.wrap(x, 72) or [""]) for t in kept]
+    rows = spark.createDataFrame(list(enumerate(broken)), "doc_id long, text string")
+    got = quality_lines.line_quality(rows).select("kept").collect()
+    assert sum(r["kept"] for r in got) >= 0.99 * len(got)
+    menu = "Latest news from the region\nAll offers of the week\nContact and opening hours\n" * 30
+    assert not quality_lines.line_quality(spark.createDataFrame([(1, menu)], "doc_id long, text string")).first()["kept"]
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -343,3 +360,9 @@ def test_mixing_odd_rows(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == 11 and {r["source"] for r in got} == {"~", "a", "b", "c"}
     assert not mixing.mix(odd(spark).where("false")).collect()
+
+
+def test_mixing_spreads_rows_without_a_key(spark):
+    rows = spark.range(4000).selectExpr("cast(null as long) AS doc_id", "concat('word ', id, repeat(' x', 8)) AS text", "'a' AS source")
+    sizes = mixing.mix(rows, block_tokens=500).groupBy("block").count().collect()
+    assert len(sizes) == 80 and max(r["count"] for r in sizes) < 100

@@ -85,20 +85,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         repeats: float = MAX_REPEATS, share: float = BUDGET_SHARE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: key, source, n_tokens, alpha, weight, block, copies.
 
-    A source's documents fall into blocks by a hash of their key; its blocks, and the
-    documents of a block, stand in an order given by hashes. The budget buys `budget // tokens`
+    A source's documents fall into blocks by a hash of their key and text, so rows without a key
+    or with a shared one spread as well; its blocks, and the documents of a block, stand in an order given by hashes. The budget buys `budget // tokens`
     full passes over the source and, in one more pass, the documents that start within
     what is left, group of blocks after group, block after block. `copies` counts a document's passes, so a source's drawn
     tokens exceed its budget by less than one document. Running sums go over groups of
     blocks, over one group's blocks and over one block's documents, never over all documents of a source. A null source is a source of
     its own ("~"); null or empty texts have no tokens, stay in the table and take
-    part in full passes only; rows that repeat a key stand next to each other, ordered by text hash. Other columns
+    part in full passes only; equal rows stand next to each other. Other columns
     are ignored; an empty table gives an empty one.
     """
     rows = docs.select(
         F.col(key), F.coalesce(F.col(source).cast("string"), F.lit("~")).alias("source"),
         token_count(F.col(text)).alias("n_tokens"), F.md5(F.encode(present(F.col(text)), "UTF-8")).alias("__t"))
-    rows = stage(rows.withColumn("__spot", _place(F.lit("doc"), "source", present(F.col(key).cast("string")))), "mix-rows")
+    rows = stage(rows.withColumn("__spot", _place(F.lit("doc"), "source", present(F.col(key).cast("string")), "__t")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     weights = stage(source_weights(sizes, "source", entropy, repeats, share).withColumn(
         "blocks", F.floor((F.col("tokens") + block_tokens - 1) / block_tokens).cast("long")), "mix-weights")

@@ -31,9 +31,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
 hit AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) t(k) GROUP BY r),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d),
-lines AS (SELECT r, x, length({_STRIPPED.format('x')}) AS chars, {_LINE_WORDS} AS n FROM l),
-judged AS (SELECT *, (regexp_matches(x, '[.!?\x{{2026}}:;]["''\x{{201D}}\x{{2019}}\x{{00BB}})\]]*[\x20\x09-\x0D]*\z') OR n > 12)
+l AS (SELECT r, xs[i] AS x, xs[i + 1] AS following FROM
+  (SELECT r, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS xs FROM d))),
+lines AS (SELECT r, x, following, length({_STRIPPED.format('x')}) AS chars, {_LINE_WORDS} AS n FROM l),
+judged AS (SELECT *, (regexp_matches(x, '[.!?\x{{2026}}:;]["''\x{{201D}}\x{{2019}}\x{{00BB}})\]]*[\x20\x09-\x0D]*\z') OR n > 12 OR (length(x) >= 40
+    AND coalesce((length(following) >= 40 OR regexp_matches(following, '[.!?\x{{2026}}:;]["''\x{{201D}}\x{{2019}}\x{{00BB}})\]]*[\x20\x09-\x0D]*\z')) AND length({_STRIPPED.format('following')}) > 0, false)))
   AND len(regexp_extract_all(x, '(?:[#*$%&|<>]|!!|\?\?)[.,]?(?:[\x20\x09-\x0D]|\z)')) <= n * 0.30::DOUBLE
   AND len(regexp_extract_all(x, '[|›»•·>]')) * 3 < n
   AND NOT regexp_matches(x, '(?i)javascript|cookie|all rights reserved|terms of (use|service)|privacy policy|sign (in|up)|log ?in|click here|read more|subscribe|share (this|on)|skip to (main )?content|lorem ipsum|powered by') AS good
@@ -83,7 +85,7 @@ def _flat(a: str) -> str:
 OP10 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '~') AS source, coalesce(text, '') AS text, len({_WORDS})::BIGINT AS n_tokens,
   md5(coalesce(text, '')) AS t FROM documents),
-e AS (SELECT *, {_place("'doc'", "source", "coalesce(doc_id::VARCHAR, '')")} AS spot FROM d),
+e AS (SELECT *, {_place("'doc'", "source", "coalesce(doc_id::VARCHAR, '')", "t")} AS spot FROM d),
 sizes AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0),
 one AS (SELECT list(source ORDER BY source) AS names, list(tokens::DOUBLE ORDER BY source) AS ts FROM sizes),
 halves AS (SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, ts FROM one UNION ALL

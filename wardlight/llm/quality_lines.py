@@ -17,6 +17,7 @@ SYMBOLS = "#*$%&|<>"
 
 #: Production parameters.
 MENU_WORDS = 12          # a line without an end mark and of so few words is navigation
+WRAP_CHARS = 40          # unless it has so many characters and text follows: prose wrapped in short lines
 LOUD_SHARE = 0.30        # of a line's words may end in a symbol, "!!" or "??"
 MAX_LOST = 0.50          # share of word characters that may go before the text is rejected
 MIN_WORDS = 50
@@ -32,24 +33,35 @@ def _word_chars(text: Column) -> Column:
     return F.length(F.translate(text, BLANK_CHARS, ""))
 
 
-def line_passes(line: Column) -> Column:
+def _wrapped(line: Column, following: Column) -> Column:
+    """Whether the next line carries this one on: a long line, then directly a long or a closing one."""
+    goes_on = (F.length(following) >= WRAP_CHARS) | following.rlike(SENTENCE_END)
+    return (F.length(line) >= WRAP_CHARS) & F.coalesce(goes_on & (_word_chars(following) > 0), F.lit(False))
+
+
+def line_passes(line: Column, following: Column) -> Column:
     """Whether a line with words survives the punctuation, navigation and furniture rules.
 
-    * punctuation: it ends in a sentence mark or has more than MENU_WORDS words, and
-      at most LOUD_SHARE of its words end in a symbol or a doubled "!" or "?";
+    `following` is the next line, null for the last one.
+
+    * punctuation: it ends in a sentence mark, has more than MENU_WORDS words or is wrapped (of
+      WRAP_CHARS characters, the next line as long or ending in a mark), and at most
+      LOUD_SHARE of its words end in a symbol or a doubled "!" or "?";
     * navigation: fewer menu marks than a third of its words;
     * furniture: none of the stock phrases.
     """
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     loud = F.regexp_count(line, F.lit(LOUD_WORD))
-    ends = line.rlike(SENTENCE_END) | (n > MENU_WORDS)
+    ends = line.rlike(SENTENCE_END) | (n > MENU_WORDS) | _wrapped(line, following)
     return ends & (loud <= n * F.lit(LOUD_SHARE)) & (_chars_of(line, MENU_MARKS) * 3 < n) & ~line.rlike(FURNITURE)
 
 
 def clean_text(text: Column) -> Column:
     """`text` without the lines that fail; blank lines stay where they are."""
-    keep = lambda line: (_word_chars(line) == 0) | line_passes(line)
-    return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
+    def kept(lines: Column) -> Column:
+        return F.filter(lines, lambda x, i: (_word_chars(x) == 0) | line_passes(x, F.get(lines, i + 1)))
+
+    return F.array_join(let(F.split(text, "\n"), kept), "\n")
 
 
 def repeated_words(tokens: Column, n: int = 3) -> Column:
