@@ -65,26 +65,25 @@ class _Graph:
         self.size += len(tokens)
 
     def counts(self) -> Iterator[pa.RecordBatch]:
-        """Edges, nodes, words and the number of words (under the empty phrase), per language."""
+        """(lang, node, word, n): edges from a node to the next word, the pieces that end in a node (no next
+        word), words (under themselves) and the number of words (under the empty node)."""
         names = pa.array(self.word_ids, pa.binary()).cast(pa.string())
+        nexts = pa.concat_arrays([pa.array([""]), names.slice(1)])  # no word after a piece's end
         for lang, parts in self.parts.items():
             ids = np.concatenate([*parts, np.zeros(2, np.int64)])
             x, y, z = ids[:-2], ids[1:-1], ids[2:]
             pair = (x > 0) & (y > 0)
-            (u, v), edge_n = _distinct(x[pair & (z > 0)], y[pair & (z > 0)], z[pair & (z > 0)], len(names))
-            out, flow = _summed(u, edge_n)                       # flow that leaves each node
-            (end, end_n) = _counted(x[pair & (z == 0)] * len(names) + y[pair & (z == 0)])  # pieces that end in it
-            node, node_n = _summed(np.concatenate([out, end]), np.concatenate([flow, end_n]))
-            last, last_n = _counted(x[(x > 0) & (y == 0)])
-            word, word_n = _summed(np.concatenate([node // len(names), last]), np.concatenate([node_n, last_n]))
+            (u, v), edge_n = _distinct(x[pair], y[pair], z[pair], len(names))
+            last, last_n = _counted(x[(x > 0) & (y == 0)])  # pieces that end in a word's first node
+            word, word_n = _summed(np.concatenate([u // len(names), last]), np.concatenate([edge_n, last_n]))
             words = lambda i: names.take(pa.array(i))
-            two = lambda c: (words(c // len(names)), words(c % len(names)))
-            for phrase, n in ((pc.binary_join_element_wise(*two(u), words(v), " "), edge_n),
-                              (pc.binary_join_element_wise(*two(node), " "), node_n), (words(word), word_n),
-                              (pa.array([""]), np.array([word_n.sum()]))):
+            for node, after, n in ((pc.binary_join_element_wise(words(u // len(names)), words(u % len(names)), " "), nexts.take(pa.array(v)), edge_n),
+                                   (words(word), pa.array([""] * len(word), pa.string()), word_n),
+                                   (pa.array([""]), pa.array([""]), np.array([word_n.sum()]))):
                 for i in range(0, len(n), _ROWS):
-                    part = phrase.slice(i, _ROWS)
-                    yield pa.record_batch([pa.array([lang] * len(part), pa.string()), part, pa.array(n[i:i + _ROWS])], ["lang", "phrase", "n"])
+                    part = node.slice(i, _ROWS)
+                    yield pa.record_batch([pa.array([lang] * len(part), pa.string()), part, after.slice(i, _ROWS), pa.array(n[i:i + _ROWS])],
+                                          ["lang", "node", "word", "n"])
         self.__init__()
 
 
@@ -117,6 +116,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
 
     Each task adds up the graph of a million words before it gives out the counts, so a key
     has few rows per task however frequent it is; adding up again before the shuffle would only spill.
+    Edges are shuffled by the node they leave; a node's count is the flow that leaves it plus the
+    pieces that end in it, added up from the same shuffle.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), present(F.col(text)).alias("text"))
 
@@ -133,9 +134,13 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
                         yield from graph.counts()
         yield from graph.counts()
 
-    parts = rows.mapInArrow(count, "lang string, phrase string, n long")
-    total = parts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return stage(total.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrase-counts")
+    parts = rows.mapInArrow(count, "lang string, node string, word string, n long")
+    flow = parts.repartition("lang", "node").groupBy("lang", "node", "word").agg(F.sum("n").alias("n"))
+    # Both sides of the union read one shuffle; a filter on the word alone would be pushed below it and split it.
+    edges = flow.where(F.when(F.col("word") == "", 0).otherwise(F.col("n")) >= least).select(
+        "lang", F.concat_ws(" ", "node", "word").alias("phrase"), "n")
+    nodes = flow.groupBy("lang", "node").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("node") == ""))
+    return stage(edges.union(nodes.select("lang", F.col("node").alias("phrase"), "n")), "phrase-counts")
 
 
 def unary_paths(counts: DataFrame) -> DataFrame:
