@@ -50,6 +50,18 @@ def test_state_map_of_pcs(spark, tmp_path):
     assert counts(table) == WANT
 
 
+def test_tables_stored_as_one_file_or_as_a_folder_of_files(spark, tmp_path):
+    """A folder of part files, or of folders by a partition column, is one table, as for a batch reader."""
+    table = spark.range(40).selectExpr("id", "id % 2 as half", "cast(id as string) as w")
+    table.repartition(3).write.parquet(str(tmp_path / "parts" / "t.parquet"))
+    table.write.partitionBy("half").parquet(str(tmp_path / "halves" / "t.parquet"))
+    (tmp_path / "one").mkdir()
+    table.toPandas().to_parquet(tmp_path / "one" / "t.parquet")
+    for folder, name in (("parts", "t.parquet"), ("halves", "t.parquet"), ("one", "t.parquet"), ("one", "*.parquet")):
+        got = logs.run_to_table(logs.read_parquet_stream(spark, str(tmp_path / folder), name).select("id", "half", "w"), "read")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, table.collect())), folder
+
+
 def rows(spark, n, size=5):
     return spark.createDataFrame([((n + i) % 12, n * 100 + i, None if i == 2 else "x") for i in range(size)], "k int, v int, w string")
 

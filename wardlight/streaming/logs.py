@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight.operators.features import LOGS
-from wardlight.sources.stage import shared_root
+from wardlight.sources.stage import file_system, shared_root
 from wardlight.streaming.snapshots import SnapshotTable
 
 SUMS = {**LOGS["logon"].sums, **LOGS["device"].sums, "file_write_count": LOGS["file"].sums["file_write_count"]}
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Stream the files of a folder that match a glob; the schema is read from them."""
+    """Stream the files of a folder that match a glob, or the table of that name if it is a folder of
+    files itself; the schema is read from them."""
+    fs, where = file_system(spark, f"{folder}/{pattern}")
+    if fs.exists(where) and fs.getFileStatus(where).isDirectory():
+        return spark.readStream.schema(spark.read.parquet(f"{folder}/{pattern}").schema).parquet(f"{folder}/{pattern}")
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
