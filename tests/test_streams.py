@@ -50,6 +50,27 @@ def test_state_map_of_pcs(spark, tmp_path):
     assert counts(table) == WANT
 
 
+def test_users_of_a_day_share_keys_and_timers(spark, tmp_path):
+    """Two batches of many users, repeated and null pcs, a user without a name: exact counts, few timers."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    logons, seen, timers = {}, {}, []
+    for batch in range(2):
+        data = [(str(i), None if u == 0 else f"u{u}", datetime(2024, 1, 1, 9 + batch), "Logon", 0, [None, "a", "b", "c"][(u + i % (2 + batch)) % 4])
+                for i, u in enumerate(j % 300 for j in range(900))]
+        for _, u, _, _, _, pc in data:
+            logons[u] = logons.get(u, 0) + 1
+            seen.setdefault(u, set()).update({pc} - {None})
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        with pcs.rocks(spark):
+            days = pcs.user_day_exact(spark.readStream.schema(SCHEMA).parquet(source), slices=16)
+            run = logs.start_table(days, out, "days", ("user", "email_day"))
+            run.awaitTermination()
+        timers += [p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in run.recentProgress if p.stateOperators]
+    got = counts(SnapshotTable(spark, f"{out}/days", days.schema, ("user", "email_day")).read())
+    assert got == {(u, "2024-01-01"): (n, len(seen[u])) for u, n in logons.items()} and len(got) == 300
+    assert 0 < sum(timers) <= 16
+
+
 def test_tables_stored_as_one_file_or_as_a_folder_of_files(spark, tmp_path):
     """A folder of part files, or of folders by a partition column, is one table, as for a batch reader."""
     table = spark.range(40).selectExpr("id", "id % 2 as half", "cast(id as string) as w")
