@@ -31,6 +31,17 @@ PART_COUNTS = (2, 3, 4)
 _LOWER = bytes(range(256)).lower()
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the unsigned 64-bit hashes each bit is set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes: the bits that over half of them have."""
+    return sum(1 << int(b) for b in np.flatnonzero(2 * counts > n))
+
+
 def _fingerprint(text: str, shingle: int, seed: int) -> int:
     tokens = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
@@ -41,9 +52,8 @@ def _fingerprint(text: str, shingle: int, seed: int) -> int:
     for start in range(0, n, 1 << 15):  # bounds the bit table of a very long text
         at = range(start, min(n, start + (1 << 15)))
         hashes = np.fromiter((digest(b" ".join(tokens[i:i + shingle]), seed) for i in at), np.uint64, len(at))
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        half += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << int(b) for b in np.flatnonzero(2 * half > n))
+        half += bit_counts(hashes)
+    return majority(half, n)
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
