@@ -65,27 +65,35 @@ def best_users(users: DataFrame, candidates: list[tuple[int, list[float]]], k: i
     limits = np.clip(genes[:, N:], _P["threshold_low"], _P["threshold_high"])
 
     def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        best, floor = None, np.full(len(ids), -np.inf)  # floor: a full candidate's k-th score, below which nothing counts
         for batch in batches:
             batch = batch.sort_values("user", ignore_index=True)
-            signals = batch[list(NORMS)].to_numpy(float)
-            found = [] if best is None else [best]
-            for i, cand in enumerate(ids):
+            signals = np.asfortranarray(batch[list(NORMS)].to_numpy(float))
+            taken, scores, flags = [], [], []
+            for i in range(len(ids)):
                 score = signals[:, 0] * weights[i, 0]
                 for j in range(1, N):  # fixed order of additions: equal rows score equal
                     score = score + signals[:, j] * weights[i, j]
-                if len(score) > k:
-                    edge = np.partition(score, len(score) - k)[len(score) - k]
-                    above = np.flatnonzero(score > edge)
-                    tied = np.flatnonzero(score == edge)[:k - len(above)]
-                    rows = np.concatenate([above, tied])
-                else:
-                    rows = np.arange(len(score))
-                top = batch.loc[rows, ["user", "is_insider"]]
-                found.append(top.assign(cand=cand, score=score[rows],
-                                        flagged=(signals[rows] >= limits[i]).any(axis=1).astype(np.int32)))
-            merged = pd.concat(found).sort_values(["cand", "score", "user"], ascending=[True, False, True])
+                rows = np.flatnonzero(score >= floor[i]) if floor[i] > -np.inf else np.arange(len(score))
+                if len(rows) > k:
+                    there = score[rows]
+                    edge = np.partition(there, len(there) - k)[len(there) - k]
+                    above = np.flatnonzero(there > edge)
+                    tied = np.flatnonzero(there == edge)[:k - len(above)]
+                    rows = rows[np.concatenate([above, tied])]
+                taken.append(rows)
+                scores.append(score[rows])
+                flags.append((signals[rows] >= limits[i]).any(axis=1).astype(np.int32))
+            if not any(map(len, taken)):
+                continue
+            # One frame a batch: a frame for each candidate would cost more than the scores.
+            top = batch.loc[np.concatenate(taken), ["user", "is_insider"]].assign(
+                cand=np.repeat(ids, [len(rows) for rows in taken]), score=np.concatenate(scores), flagged=np.concatenate(flags))
+            merged = (top if best is None else pd.concat([best, top])).sort_values(
+                ["cand", "score", "user"], ascending=[True, False, True])
             best = merged.groupby("cand", sort=False).head(k)
+            full = best.groupby("cand")["score"].agg(["size", "min"]).reindex(ids)
+            floor = np.where(full["size"] >= k, full["min"], -np.inf)
         if best is not None:
             yield best[["cand", "user", "score", "is_insider", "flagged"]]
 

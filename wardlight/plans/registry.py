@@ -452,7 +452,9 @@ def sample(spark, folder):
 # --- search --------------------------------------------------------------------------------------
 
 def search_users(spark, folder) -> DataFrame:
-    return stage(roles.risk_table(spark, folder).select("user", "is_insider", *risk.NORMS), "search-users")
+    users = roles.risk_table(spark, folder).select("user", "is_insider", *risk.NORMS)
+    # Every generation reads this table: one small file would be one task each time.
+    return stage(users.repartition(spark.sparkContext.defaultParallelism, "user"), "search-users")
 
 
 @query
