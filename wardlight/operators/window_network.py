@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -28,6 +29,7 @@ EPOCHS = 60
 MEMORY = 10      # steps remembered for the quasi-Newton direction
 FIRST_STEP = 0.1  # length of the first step
 WIDTH = 64       # units of each hidden layer
+BLOCK = 512      # windows whose gradient is taken at once; their layers stay in the processor's cache
 BRANCHES = 64    # partial sums of the gradient below the last one
 NAMES = ("W1", "b1", "V", "W2", "W3", "b3", "U", "W4")
 
@@ -95,12 +97,15 @@ def summed_gradient(windows: DataFrame, mean: np.ndarray, p: Params) -> tuple[in
     def task(batches):
         total = np.zeros(size + 2)
         for batch in batches:
-            if len(batch):
-                loss, gradient = loss_gradient(p, np.stack(batch["x"].to_numpy()) - mean)
-                total += np.concatenate([[len(batch), loss], _flat(gradient)])
-        yield pd.DataFrame({"sums": [total]})
-
-    partial = windows.select("x").mapInPandas(task, "sums array<double>")
+            # The flat values of the batch; an object per window would cost as much as its gradient.
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(mean))
+            for part in np.split(x, range(BLOCK, len(x), BLOCK)):
+                if len(part):
+                    loss, gradient = loss_gradient(p, part - mean)
+                    total += np.concatenate([[len(part), loss], _flat(gradient)])
+        yield pa.RecordBatch.from_pydict({"sums": [total.tolist()]})
+
+    partial = windows.select("x").mapInArrow(task, "sums array<double>")
     branches = partial.groupBy((F.spark_partition_id() % BRANCHES).alias("branch")).agg(
         Summarizer.sum(array_to_vector("sums")).alias("v"))
     # Grouped by a constant: a table without windows gives no row.
